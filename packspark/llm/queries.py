@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packspark.llm import line_dedup, matroska, mixing, secrets
+from packspark.llm import line_dedup, matroska, mixing, secrets, warc
 from packspark.session import table
 
 
@@ -18,6 +18,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -29,6 +33,7 @@ def op10_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
+    "op4_warc": op4_warc,
     "op7_secret_scan": op7_secret_scan,
     "op10_media_matroska": op10_media_matroska,
 }
