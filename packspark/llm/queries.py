@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packspark.llm import line_dedup, matroska, mixing, secrets, warc
+from packspark.llm import line_dedup, matroska, mixing, quality_rules, secrets, toxicity, warc
+from packspark.llm.common import fold
 from packspark.session import table
 
 
@@ -18,6 +20,13 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1), "toxic")
+    scored = toxicity.with_score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", toxicity.decided(F.col("score"), 0.7).alias("predicted"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -26,6 +35,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0), "quality")
+    scored = quality_rules.with_score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
@@ -33,8 +49,10 @@ def op10_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
     "op10_media_matroska": op10_media_matroska,
 }
 
