@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packspark.llm import line_dedup, matroska, mixing, quality_rules, secrets, toxicity, warc
+from packspark.llm import line_dedup, matroska, mixing, near_dedup, quality_rules, secrets, toxicity, warc
 from packspark.llm.common import fold
 from packspark.session import table
 
@@ -42,6 +42,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_dups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash": op9_minhash,
     "op10_media_matroska": op10_media_matroska,
 }
 
