@@ -78,9 +78,9 @@ class _Powers:
 _powers = _Powers()
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (maximal runs of non-blank bytes) of a byte array, and their starts."""
-    blank = _BLANK[data]
+def word_hashes(data: np.ndarray, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (maximal runs of bytes that aren't blanks) of a byte array, and their starts."""
+    blank = blanks[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
