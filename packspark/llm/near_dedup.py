@@ -39,6 +39,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: A table of class keys is broadcast up to so many rows (48 bytes each), else shuffled.
 BROADCAST_ROWS = 200_000
+#: 64-bit words of the parity bitmap that bounds the difference of two sets from below.
+PARITY_WORDS = 8
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 2 << 20
 
@@ -169,6 +171,13 @@ def set_id(s: np.ndarray) -> bytes:
     return int(s.sum(dtype=np.uint64)).to_bytes(8, "big") + int(mix64(s ^ _U(0x5BF0_3635)).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of PARITY_WORDS * 64 places in which each element flips one: where two bitmaps
+    differ in d places, the sets differ in d elements at least."""
+    bits = np.bincount((mix64(s) % _U(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -194,10 +203,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for chunk in steps(x or b"" for x in (v.as_py() for v in batch.column("raw"))):
             sets = shingle_sets(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column("fp").slice(at, len(chunk)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "set"])
+            odd = np.stack([parity(s) for s in sets], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("fp").slice(at, len(chunk)), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, odd)], names=["fp", "set", *ODD])
             at += len(chunk)
 
 
+ODD = [f"odd{i}" for i in range(PARITY_WORDS)]
+
+
 @arrow_udf("boolean")
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two full sets reach the threshold."""
@@ -227,14 +240,15 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among sets (fp, root, set) of different roots: all that can reach the
-    threshold, found on the prefixes of the sets in order of rarity.
+    """Candidate pairs (a, b) among sets (fp, root, set, parity bitmap) of different roots: all that
+    can reach the threshold, found on the prefixes of the sets in order of rarity.
 
     Sets x and y, x no larger, need a common part of o = ceil(r / (1 + r) * (|x| + |y|)). In one
     order of all shingles they then share one at a place of at most |x| - o in x and |y| - o in y.
-    Shingles that one set alone has can't be shared; they only count as the first places.
+    Shingles that one set alone has can't be shared; they only count as the first places. Parity
+    bitmaps that differ in more places than the sets may differ in elements rule a pair out.
     """
-    rows = sets.mapInArrow(_explode_sets, "fp binary, root binary, n long, h long")
+    rows = sets.select("fp", "root", "set").mapInArrow(_explode_sets, "fp binary, root binary, n long, h long")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     spent = F.col("n") - F.size("hs")
     width = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
@@ -243,14 +257,17 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         .groupBy("fp", "root", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
         .filter(spent < width)
-        .select("fp", "root", "n", spent.alias("spent"), F.posexplode(F.slice("hs", F.lit(1), (width - spent).cast("int"))))
-        .select("fp", "root", "n", (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"))
+        .join(sets.select("fp", *ODD), "fp")
+        .select("fp", "root", "n", *ODD, spent.alias("spent"), F.posexplode(F.slice("hs", F.lit(1), (width - spent).cast("int"))))
+        .select("fp", "root", "n", *ODD, (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"))
     )
-    x, y = (places.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at")]) for s in "xy")
+    x, y = (places.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at", *ODD)]) for s in "xy")
     o = F.ceil((F.col("n_x") + F.col("n_y")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("fp_x") < F.col("fp_y")))
     reach = (F.col("at_x") <= F.col("n_x") - o) & (F.col("at_y") <= F.col("n_y") - o) & (F.col("n_x") * DENOMINATOR >= F.col("n_y") * NUMERATOR)
-    return x.join(y, (x["h"] == y["h"]) & smaller & reach & (F.col("root_x") != F.col("root_y"))).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ODD), F.lit(0))
+    close = apart <= F.col("n_x") + F.col("n_y") - 2 * o
+    return x.join(y, (x["h"] == y["h"]) & smaller & reach & (F.col("root_x") != F.col("root_y")) & close).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
 
 
 def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +286,7 @@ def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = stash(wanted, "wanted")
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = keyed.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "raw")
-    sets = stash(rows.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), "sets")
+    sets = stash(rows.mapInArrow(_sets, ", ".join(["fp binary, set binary", *[f"{c} long" for c in ODD]])).dropDuplicates(["fp"]), "sets")
 
     possible = (F.least("n", "hub_n") * DENOMINATOR) >= (F.greatest("n", "hub_n") * NUMERATOR)
     star = members.filter(possible & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
