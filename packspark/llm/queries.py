@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packspark.llm import decontam, line_dedup, matroska, mixing, near_dedup, quality_rules, secrets, toxicity, warc
+from packspark.llm import decontam, line_dedup, matroska, mixing, near_dedup, quality_rules, secrets, substring_dedup, toxicity, warc
 from packspark.llm.common import fold
 from packspark.session import table
 
@@ -31,6 +31,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.drop("k1", "k2")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
