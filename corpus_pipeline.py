@@ -1,8 +1,78 @@
-"""Stages that turn raw documents into a training mix (filled in as the operators arrive)."""
+"""From raw documents to a training mix: five stages, each one operator of ``packspark.llm``.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next one's docs. All but the last return the columns of ``documents``; the last
+returns them too, each row as often as the mix takes its document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packspark.llm import decontam, line_dedup, mixing, near_dedup, quality_rules
+from packspark.llm.common import new_dir, row_key, stash
+from packspark.session import table
+
+#: Documents that score below this are rejected.
+LEAST_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the rule ensemble, fitted on the labelled ones, takes for good."""
+    model = quality_rules.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), "quality")
+    return quality_rules.with_score(docs, model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated windows of three lines; n_chars follows the text, and documents that had text
+    and lose all of it go."""
+    cut = line_dedup.dedup_lines(docs)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    emptied = (F.col("n_removed") > 0) & (F.col("text") == "")
+    return cut.filter(~emptied).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies, once."""
+    found = near_dedup.near_dups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    kept = stash(found.groupBy("_id", "_t1", "_t2").agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    t1, t2 = row_key("text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_t1")) & (F.col("_b") == F.col("_t2"))
+    left = docs.withColumns({"_a": t1, "_b": t2}).join(kept, same, "left_semi")
+    if not kept.filter("_rows > 1").isEmpty():  # repeated rows: one of them stays
+        left = left.dropDuplicates(["doc_id", "_a", "_b"])
+    return left.select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the weighted mix takes them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("source mix", mixture),
+]
+
+#: The fitted rules, latent vectors and signatures have no SQL form; tests compare run() with a
+#: plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stored in the shared folder before the next begins."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_dir(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
