@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -51,7 +52,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables of stash() that nothing will read again."""
+    for df in stashed:
+        remove_path(df.sparkSession, df.stash_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, before the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def row_key(*cols: Column | str) -> list[Column]:

@@ -11,9 +11,11 @@ hold the others: strings meet by content-defined anchors.
 2. Blocks with equal anchors and equal bytes form a class; in all its places but the first the
    whole block goes. Anchors that occur once need no more work.
 3. Anchors with several classes may share strings across them. The first block of each such class
-   goes, with its bytes, to a shard by its anchor, and every shard is sorted by external induced
-   sorting (``induced_sort``), which yields the sets of equal strings. An anchor with very many
-   classes (a frequent phrase) is dealt by the strings themselves instead of as a whole.
+   is cut in two, so that all strings of a part also have the SIDE bytes before or behind the anchor
+   in common, and goes with its bytes to the shard of that longer anchor. Parts whose longer anchor
+   nothing else has are dropped there; the others are sorted by external induced sorting
+   (``induced_sort``), which yields the sets of equal strings. An anchor with very many classes (a
+   frequent phrase) is dealt by the strings themselves instead.
 4. What goes from a document is merged, and the rest is joined up.
 
 Results are exact up to collisions of 128-bit hashes in step 2; step 3 compares bytes.
@@ -25,7 +27,6 @@ document, so they share one result and are no copies of each other.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packspark.llm import induced_sort
-from packspark.llm.common import row_key, stash
+from packspark.llm.common import discard, release, row_key, stash
 from packspark.llm.near_dedup import _BYTE, _U, _powers, mix64, steps
 
 DEPTH = 100
 GRAM = 32
 SPAN = DEPTH - GRAM + 1  # grams in a string, and the most strings in a block
+SIDE = (DEPTH - GRAM) // 2
 #: Classes of one anchor beyond which its strings are dealt one by one.
 HOT_CLASSES = 5_000
 SHARD_BYTES = 16 << 20
@@ -48,12 +50,12 @@ SORT_BUDGET = 64 << 20
 
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first string, last string, anchor hash, block hash) of all blocks."""
+    """(text number, first string, last string, anchor, anchor hash, block hash) of all blocks."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     n = len(data) - DEPTH + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     up, down = _powers.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
@@ -81,60 +83,62 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     whole = (total[hi + DEPTH] - total[lo]) * down[lo]
     b = mix64(whole + mix64((hi - lo).astype(np.uint64) * _U(1 << 20) + (at - lo).astype(np.uint64)))
     first = (end - size)[owner[lo]]
-    return owner[lo], lo - first, hi - first, gram[at].view(np.int64), b.view(np.int64)
+    return owner[lo], lo - first, hi - first, at - first, gram[at].view(np.int64), b.view(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, base = np.array(batch.column("d")), 0
         for chunk in steps(v.as_py() or b"" for v in batch.column("raw")):
-            owner, lo, hi, a, b = blocks(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(docs[base + owner]), pa.array(lo << 7 | (hi - lo))], names=["a", "b", "d", "at"])
+            owner, lo, hi, at, a, b = blocks(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(docs[base + owner]), pa.array(lo << 14 | (hi - lo) << 7 | (at - lo))], names=["a", "b", "d", "at"])
             base += len(chunk)
 
 
+#: at: place of the first string, number of strings after it (7 bits), place of the anchor after it (7).
 BLOCK_DDL = "a long, b long, d long, at long"
 
 
+def _key(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of blocks: whole by their anchor, or string by string if the anchor is hot."""
+    """The bytes of blocks, by their longer anchors, or string by string if the anchor is hot."""
     for batch in batches:
         for raw, d, todo in zip(*[batch.column(c) for c in ("raw", "d", "todo")], strict=True):
             raw, d, shard, lo, seg = raw.as_py(), d.as_py(), [], [], []
+
+            def add(key: bytes, first: int, last: int, raw: bytes = raw, out: tuple = (shard, lo, seg)) -> None:
+                if first <= last:
+                    for column, value in zip(out, (_key(key), first, raw[first : last + DEPTH]), strict=True):
+                        column.append(value)
+
             for x in todo.as_py():
-                start, more = x["at"] >> 7, x["at"] & 127
+                start = x["at"] >> 14
+                stop, anchor = start + (x["at"] >> 7 & 127), start + (x["at"] & 127)
                 if x["hot"]:
-                    for p in range(start, start + more + 1):
-                        s = raw[p : p + DEPTH]
-                        shard.append(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "big", signed=True))
-                        lo.append(p)
-                        seg.append(s)
+                    for p in range(start, stop + 1):
+                        add(raw[p : p + DEPTH], p, p)
                 else:
-                    shard.append(x["a"])
-                    lo.append(start)
-                    seg.append(raw[start : start + more + DEPTH])
+                    add(raw[anchor - SIDE : anchor + GRAM] + b"<", start, min(stop, anchor - SIDE))
+                    add(raw[anchor : anchor + GRAM + SIDE] + b">", max(start, anchor - SIDE + 1), stop)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([d] * len(lo), pa.int64()), pa.array(lo, pa.int64()), pa.array(seg, pa.binary())], names=["shard", "d", "lo", "seg"])
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, start) of each string of a shard that has an earlier equal one in it."""
-    docs: list[np.ndarray] = []
-    places: list[np.ndarray] = []
-
-    def stream() -> Iterator[tuple[bytes, int]]:
-        for batch in batches:
-            docs.append(np.array(batch.column("d")))
-            places.append(np.array(batch.column("lo")))
-            for v in batch.column("seg"):
-                data = v.as_py()
-                yield data, len(data) - DEPTH + 1
-
-    d = p = None
+    """Ranges of the strings of a shard that have an earlier equal one in it."""
+    held_batches = list(batches)
+    if not held_batches:
+        return
+    rows = pa.Table.from_batches(held_batches)
+    _, number, count = np.unique(np.array(rows["shard"]), return_inverse=True, return_counts=True)
+    rows = rows.filter(pa.array(count[number] > 1))
+    d, p = np.array(rows["d"]), np.array(rows["lo"])
+    stream = ((x, len(x) - DEPTH + 1) for chunk in rows["seg"].chunks for v in chunk for x in [v.as_py()])
     out: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-    for segment, offset in induced_sort.groups(stream(), DEPTH, SORT_BUDGET):
-        if d is None:
-            d, p = np.concatenate(docs), np.concatenate(places)
+    for segment, offset in induced_sort.groups(stream, DEPTH, SORT_BUDGET):
         who, at = d[segment], p[segment] + offset
         order = np.lexsort((at, who))[1:]
         out.append((who[order], at[order]))
@@ -157,12 +161,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(at[first]), pa.array(at[last] + DEPTH)], names=["d", "lo", "hi"])
 
 
-def release(spark) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(df: DataFrame) -> tuple[DataFrame, bool]:
     """df (doc_id, text) as rows (d, doc_id, raw), where d orders documents as the contract does,
     and whether every d stands in one row."""
@@ -182,28 +180,34 @@ def removed_ranges(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame
     """(d, lo, hi): ranges of bytes that go, which may overlap, for docs (d, raw)."""
     spark = docs.sparkSession
     cut = docs.select("d", "raw").mapInArrow(_blocks, BLOCK_DDL)
-    seen = cut.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min(F.struct("d", "at")).alias("p0"), F.max(F.struct("d", "at")).alias("p1"))
-    often = stash(seen.filter("b0 <> b1 OR p0 <> p1").select("a", (F.col("b0") != F.col("b1")).alias("multi")), "anchors")
+    seen = cut.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.count(F.lit(1)).alias("n"))
+    often = stash(seen.filter("n > 1").select("a", (F.col("b0") != F.col("b1")).alias("multi")), "anchors")
     del seen
     release(spark)
     kept = stash(cut.join(often, "a"), "blocks")
+    discard(often)
     release(spark)
 
     place = F.struct("d", "at")
     classes = stash(kept.groupBy("a", "b").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.first("multi").alias("multi")), "classes")
     again = kept.join(classes.filter("p0 <> p1").select("a", "b", "p0"), ["a", "b"]).filter(place != F.col("p0"))
-    lo = F.shiftright("at", 7)
-    whole = again.select("d", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(127)) + DEPTH).alias("hi"))
+    lo = F.shiftright("at", 14)
+    whole = stash(again.select("d", lo.alias("lo"), (lo + F.shiftright("at", 7).bitwiseAND(F.lit(127)) + DEPTH).alias("hi")), "whole")
+    del again
+    discard(kept)
+    release(spark)
 
     several = classes.filter("multi").select("a", "p0.d", "p0.at")
     hot = several.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_classes).select("a", F.lit(True).alias("hot"))
     todo = several.join(hot, "a", "left").groupBy("d").agg(F.collect_list(F.struct("a", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
-    once = docs.select("d", "raw").join(todo, "d")
-    segments = once.mapInArrow(_segments, "shard long, d long, lo long, seg binary")
+    segments = docs.select("d", "raw").join(todo, "d").mapInArrow(_segments, "shard long, d long, lo long, seg binary")
     # One sort a partition, of SHARD_BYTES or so: an anchor has at most hot_classes blocks in one.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), several.count() * 2 * DEPTH // SHARD_BYTES)
-    repeats = segments.repartition(parts, "shard").mapInArrow(_sorted_repeats, "d long, lo long, hi long")
-    return stash(whole.unionByName(repeats), "ranges")
+    repeats = stash(segments.repartition(parts, "shard").mapInArrow(_sorted_repeats, "d long, lo long, hi long"), "repeats")
+    del several, todo, segments
+    discard(classes)
+    release(spark)
+    return whole.unionByName(repeats)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
