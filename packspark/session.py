@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session without that setting (tests) gets a folder of the machine instead.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/packspark-shared"
+    return f"{base.rstrip('/')}/packspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
