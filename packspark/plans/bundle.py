@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +112,40 @@ def assemble(analysis: DataFrame, found: DataFrame, limits: DataFrame, settings:
     return out.select("query_id", "intent", "budget_used", "budget_limit", "chunks", summary.alias("excluded_summary"), F.coalesce("optional", F.lit(0)).alias("optional_chunks_used"))
 
 
-def prepare(queries: DataFrame, index: Index, settings: Settings | None = None, predicted: DataFrame | None = None, extra_hits: DataFrame | None = None) -> Bundles:
-    """Bundles for queries (query_id, query, optionally max_tokens and intent).
+def keeper(path: str | None) -> Callable[[DataFrame, str], DataFrame]:
+    """How a state's tables are held: stored below path and read back, or persisted in the session.
+
+    Stored tables outlive the session, and plans that build on them stay small.
+    """
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        if path is None:
+            return df.persist()
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return hold
+
+
+STATE = ("analysis", "anchors", "candidates", "limits", "bundles")
+
+
+def open_state(spark: SparkSession, path: str) -> Bundles:
+    """The state that prepare() or expand() has stored below path."""
+    return Bundles(*[spark.read.parquet(f"{path}/{name}") for name in STATE])
+
+
+def prepare(
+    queries: DataFrame, index: Index, settings: Settings | None = None, predicted: DataFrame | None = None, extra_hits: DataFrame | None = None, state_path: str | None = None
+) -> Bundles:
+    """Bundles for queries (query_id, query, optionally max_tokens and intent), their state stored
+    below state_path or, without one, persisted.
 
     predicted: query_id and predicted, budgets of a trained model. extra_hits: further candidates,
     such as those of vector search, merged behind the keyword hits.
     """
-    settings = settings or Settings()
-    analysis = signals.analyze(queries, settings)
+    settings, hold = settings or Settings(), keeper(state_path)
+    analysis = hold(signals.analyze(queries, settings), "raw_analysis")
     found = G.grep(queries, index.corpus, settings)
     if extra_hits is not None:
         from packspark.operators.vectors import merge_hits
@@ -126,8 +153,8 @@ def prepare(queries: DataFrame, index: Index, settings: Settings | None = None,
         order = [F.desc("keyword_match"), F.col("path"), F.col("start_line")]
         found = merge_hits(found, extra_hits, settings.max_grep_candidates, order).drop("merged_rank")
     # Keyword hits feed anchors and candidates; they are computed once.
-    found = found.persist()
-    anchors = A.discover(analysis, queries, index.corpus.files, found, settings).persist()
+    found = hold(found, "hits")
+    anchors = hold(A.discover(analysis, queries, index.corpus.files, found, settings), "anchors")
 
     rows = analysis.select("query_id", *([F.col("max_tokens")] if "max_tokens" in analysis.columns else []))
     if predicted is not None:
@@ -137,13 +164,13 @@ def prepare(queries: DataFrame, index: Index, settings: Settings | None = None,
     number = anchors.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("anchor_count"))
     rows = rows.withColumns({"_limit": limit, "budget_source": source}).join(must, "query_id", "left").join(number, "query_id", "left")
     fitted = F.when((F.col("budget_source") == "explicit") | F.col("anchor_count").isNull(), F.col("_limit")).otherwise(B.fit(F.col("_limit"), F.coalesce("must_tokens", F.lit(0)), settings.hard_ceiling_factor))
-    limits = rows.select("query_id", fitted.alias("budget_limit"), "budget_source", F.coalesce("anchor_count", F.lit(0)).alias("anchor_count"))
+    limits = hold(rows.select("query_id", fitted.alias("budget_limit"), "budget_source", F.coalesce("anchor_count", F.lit(0)).alias("anchor_count")), "limits")
 
     inferred = anchors.filter("kind = 'inferred'").groupBy("query_id").agg(F.sort_array(F.collect_set("path")).alias("_inferred"))
     filled = analysis.join(inferred, "query_id", "left").withColumn("signals", F.col("signals").withField("inferred_files", F.coalesce("_inferred", F.array().cast("array<string>")))).drop("_inferred")
-    everything = build_candidates(analysis, anchors, found, index)
+    everything = hold(build_candidates(analysis, anchors, found, index), "candidates")
     bundles = with_id(assemble(analysis, everything, limits, settings)).withColumn("expansions", F.lit(0))
-    return Bundles(filled, anchors, everything, limits, bundles)
+    return Bundles(hold(filled, "analysis"), anchors, everything, limits, hold(bundles, "bundles"))
 
 
 def with_id(bundles: DataFrame) -> DataFrame:
@@ -151,13 +178,14 @@ def with_id(bundles: DataFrame) -> DataFrame:
     return bundles.withColumn("bundle_id", F.md5(F.concat_ws(":", F.lit("bundle"), F.col("query_id").cast("string")).cast("binary")))
 
 
-def expand(state: Bundles, requests: DataFrame, index: Index, settings: Settings | None = None) -> Bundles:
+def expand(state: Bundles, requests: DataFrame, index: Index, settings: Settings | None = None, state_path: str | None = None) -> Bundles:
     """The state after requests (query_id, focus, extra_tokens): more budget, the focus files whole,
     a second import hop; all candidates are ranked and packed again under the same bundle_id.
 
-    extra_tokens that are null or 0 give half the limit. Queries without a request are left out.
+    extra_tokens that are null or 0 give half the limit. Queries without a request are left out. The
+    new state is stored below state_path, which must not be the old one's, or persisted.
     """
-    settings = settings or Settings()
+    settings, hold = settings or Settings(), keeper(state_path)
     files = index.corpus.files
     asked = requests.select("query_id", "focus", "extra_tokens")
     old = state.candidates.join(asked.select("query_id"), "query_id", "left_semi")
@@ -168,13 +196,14 @@ def expand(state: Bundles, requests: DataFrame, index: Index, settings: Settings
     second = candidates(_head(hop, B.HEAD_LINES), TIERS["import"], "import", "content", proximity=0.4)
     key = ["query_id", "path", "start_line", "end_line"]
     new = R.with_features(full.unionByName(second), files, None).dropDuplicates(key)
-    everything = old.unionByName(new.join(old.select(*key), key, "left_anti"))
+    everything = hold(old.unionByName(new.join(old.select(*key), key, "left_anti")), "candidates")
 
     extra = F.coalesce(F.nullif("extra_tokens", F.lit(0)), F.floor(F.col("budget_limit") * 0.5).cast("int"))
     count = F.size("signals.mentioned_files") + F.size("signals.inferred_files")
     rows = state.limits.drop("anchor_count").join(asked, "query_id").join(state.analysis.select("query_id", count.alias("anchor_count")), "query_id")
-    limits = rows.select("query_id", (F.col("budget_limit") + extra).cast("int").alias("budget_limit"), "budget_source", "anchor_count")
-    analysis = state.analysis.join(asked.select("query_id"), "query_id", "left_semi")
+    limits = hold(rows.select("query_id", (F.col("budget_limit") + extra).cast("int").alias("budget_limit"), "budget_source", "anchor_count"), "limits")
+    analysis = hold(state.analysis.join(asked.select("query_id"), "query_id", "left_semi"), "analysis")
+    anchors = hold(state.anchors.join(asked.select("query_id"), "query_id", "left_semi"), "anchors")
     before = state.bundles.select("query_id", "bundle_id", (F.col("expansions") + 1).alias("expansions"))
     bundles = assemble(analysis, everything, limits, settings).join(before, "query_id")
-    return Bundles(analysis, state.anchors, everything, limits, bundles)
+    return Bundles(analysis, anchors, everything, limits, hold(bundles, "bundles"))

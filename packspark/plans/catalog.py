@@ -300,7 +300,7 @@ def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _state(spark: SparkSession, sf_dir: str) -> tuple[Bu.Bundles, Bu.Index]:
     docs, code = demo.documents_corpus(spark, sf_dir).files, demo.code_corpus(spark, sf_dir).files
     index = Bu.Index.build(W.Corpus(docs.unionByName(code))).store(scratch(spark, "index"))
-    return Bu.prepare(demo.batch(spark), index), index
+    return Bu.prepare(demo.batch(spark), index, state_path=scratch(spark, "state")), index
 
 
 @query
@@ -314,7 +314,7 @@ def expand_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles after one expansion with a focus file and one without."""
     state, index = _state(spark, sf_dir)
     asked = spark.createDataFrame([(1, "src3/doc13.md", None), (8, None, 500)], "query_id long, focus string, extra_tokens int")
-    return render.chunk_rows(Bu.expand(state, asked, index).bundles)
+    return render.chunk_rows(Bu.expand(state, asked, index, state_path=scratch(spark, "expanded")).bundles)
 
 
 @query
