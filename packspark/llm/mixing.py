@@ -62,9 +62,10 @@ def targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     rising = Window.orderBy("bound", F.col("source").isNull(), F.col("source").cast("binary"))
     before, rest = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
     level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    levelled = weighted.withColumn("level", level)
-    # The level only means something where it is at most the row's own bound; the first such row sets it.
-    found = levelled.withColumn("level", F.min(F.when(F.col("level") <= F.col("bound"), F.struct("bound", "level"))).over(Window.partitionBy())["level"])
+    levelled = weighted.withColumns({"nth": F.row_number().over(rising), "level": level})
+    # The level only means something where it is at most the row's own bound; the first such row sets
+    # it (the first by place: behind it, sources of the same bound would count as capped).
+    found = levelled.withColumn("level", F.min(F.when(F.col("level") <= F.col("bound"), F.struct("nth", "level"))).over(Window.partitionBy())["level"])
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return found.select("source", "source_size", target.alias("target"))
 
@@ -129,11 +130,12 @@ s AS (
 b AS (SELECT *, CAST(3 * n AS DOUBLE) AS cap, CAST(3 * n AS DOUBLE) / w AS bound FROM s),
 l AS (
   SELECT *, (sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY bound, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY bound, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    / sum(w) OVER (ORDER BY bound, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY bound, source IS NULL, encode(source)) AS nth
   FROM b
 ),
 t AS (
-  SELECT source, n, least(cap, (SELECT arg_min(level, bound) FROM l WHERE level <= bound) * w) AS target FROM l
+  SELECT source, n, least(cap, (SELECT arg_min(level, nth) FROM l WHERE level <= bound) * w) AS target FROM l
 ),
 r AS (
   SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target, floor(t.target / nullif(t.n, 0)) AS e,
