@@ -120,12 +120,13 @@ def select(counts: np.ndarray, n: np.ndarray, features: int) -> tuple[np.ndarray
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most max_rows rows (text, y): whole texts of documents with a label."""
+    """At most max_rows rows (text, y): whole texts of documents with a label (of documents with the
+    same id, the least text)."""
     y = (F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y")
     order = F.xxhash64("doc_id")
     chosen = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(y).orderBy(order, "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
-    return rows.orderBy(order, "doc_id").limit(max_rows).select("text", "y")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, features: int = FEATURES, penalty: float = PENALTY) -> Model:
