@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
+import os
+from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,22 +55,63 @@ def with_lines(files: DataFrame) -> DataFrame:
     return full.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "mtime", "size", "content", T.split_lines("content").alias("lines"))
 
 
-def scan(spark: SparkSession, settings: Settings) -> DataFrame:
-    """path (relative), mtime, mtime_ns, size, content of all scannable files below the workspace;
-    malformed UTF-8 is replaced, unreadable files are left out."""
+def listing(spark: SparkSession, settings: Settings) -> list[tuple[str, str, int, int]]:
+    """(uri, relative path, mtime_ns, size) of all regular files below the workspace, without what is
+    ignored. Names alone come to the driver, where Spark plans its own scans too; those would leave
+    out names like __init__.py, which begin with an underscore."""
     root = settings.workspace_root.rstrip("/")
-    raw = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, ignoreMissingFiles=True, ignoreCorruptFiles=True)
-        .load(root)
-        .filter(F.col("length") <= MAX_FILE_BYTES)
-    )
-    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    bare = F.regexp_replace(plain, r"^[a-z0-9]+:/*(?=/)", "")
-    rel = F.when(F.startswith(bare, F.lit(root + "/")), F.substring(bare, len(root) + 2, 1 << 30)).otherwise(bare)
-    micros = F.unix_micros("modificationTime")
-    found = raw.select(rel.alias("path"), (micros / 1e6).alias("mtime"), (micros * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    return found.filter(scannable(F.col("path"), F.col("size"), settings))
+    scheme = urlparse(root).scheme
+    if scheme in ("", "file"):
+        top, out = Path(urlparse(root).path if scheme else root), []
+        for folder, folders, names in os.walk(top):
+            folders[:] = sorted(f for f in folders if f not in settings.ignore_globs)
+            for name in sorted(names):
+                at = Path(folder, name)
+                try:
+                    if at.is_file():
+                        stat = at.stat()
+                        out.append((str(at), at.relative_to(top).as_posix(), stat.st_mtime_ns, stat.st_size))
+                except OSError:
+                    continue
+        return out
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    found, out = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        uri = f.getPath().toString()
+        out.append((uri, uri.removeprefix(top.toString()).lstrip("/"), f.getModificationTime() * 1_000_000, f.getLen()))
+    return out
+
+
+def read_bytes(uri: str) -> bytes:
+    """A file's bytes; empty if it can't be read."""
+    try:
+        if "://" not in uri:
+            return Path(uri).read_bytes()
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            return f.read()
+    except OSError:
+        return b""
+
+
+def scan(spark: SparkSession, settings: Settings) -> DataFrame:
+    """path (relative), mtime, mtime_ns, size, content of all scannable files below the workspace, read
+    by the executors; malformed UTF-8 is replaced, unreadable files are empty."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                part = batch.iloc[k : k + 64]
+                yield part.assign(content=[read_bytes(u).decode("utf-8", "replace") for u in part["uri"]])
+
+    names = spark.createDataFrame(listing(spark, settings), "uri string, path string, mtime_ns long, size long")
+    wanted = names.filter(scannable(F.col("path"), F.col("size"), settings)).repartition("path")
+    read_ = wanted.mapInPandas(read, "uri string, path string, mtime_ns long, size long, content string")
+    return read_.select("path", (F.col("mtime_ns") / 1e9).alias("mtime"), "mtime_ns", "size", "content")
 
 
 def from_workspace(spark: SparkSession, settings: Settings) -> Corpus:
