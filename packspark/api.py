@@ -17,6 +17,7 @@ from packspark.functions import text as T
 from packspark.operators import budget_model as M
 from packspark.plans import bundle as B
 from packspark.plans import render
+from packspark.session import scratch
 from packspark.settings import Settings, load, resolve_workspace
 from packspark.sources import workspace as W
 from packspark.streaming import events as E
@@ -51,16 +52,11 @@ class Engine:
             if corpus is None:
                 entries = W.current_manifest(self.spark, self.settings)
                 corpus = W.searchable(W.from_workspace(self.spark, self.settings), entries)
-            corpus = W.Corpus(corpus.files.persist())
-            built = B.Index.build(corpus)
-            self._index = B.Index(corpus, built.symbols.persist(), built.edges.persist())
+            self._index = B.Index.build(corpus).store(scratch(self.spark, "index"))
         return self._index
 
     def refresh(self) -> None:
         """Forget the index, so that the next request sees changed files."""
-        if self._index is not None:
-            for df in (self._index.corpus.files, self._index.symbols, self._index.edges):
-                df.unpersist()
         self._index = None
 
     def _one(self, query: str, max_tokens: int | None = None, intent: str | None = None) -> DataFrame:
@@ -86,7 +82,7 @@ class Engine:
         return self._model.predict(rows, self.settings.legacy_query_length_floors)
 
     def analyze_query(self, query: str) -> dict:
-        found = signals.analyze(self._one(query), self.settings).persist()
+        found = signals.analyze(self._one(query), self.settings)
         self._record(E.analysis_events(found))
         return found.drop("query_id", "max_tokens").first().asDict(recursive=True)
 
@@ -114,7 +110,7 @@ class Engine:
         predicted = self._predicted(asked) if max_tokens is None else None
         state = B.prepare(asked, self.index, self.settings, predicted)
         bundle_id = uuid.uuid4().hex
-        state = dataclasses.replace(state, bundles=state.bundles.withColumn("bundle_id", F.lit(bundle_id)).persist())
+        state = dataclasses.replace(state, bundles=state.bundles.withColumn("bundle_id", F.lit(bundle_id)))
         self.held[bundle_id] = Held(state, query)
         self._record(E.bundle_events(state))
         return self._bundle(bundle_id)

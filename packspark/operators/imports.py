@@ -90,10 +90,14 @@ def neighbours(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hops(sources: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(query_id, path, hop): files within k hops that aren't among the sources, at their least hop."""
-    seen = sources.select("query_id", "path").distinct().withColumn("hop", F.lit(0))
-    edge = seen
+    """(query_id, path, hop): files within k hops that aren't among the sources, at their least hop.
+
+    Each hop's files are held, so that the next hop's plan reads them instead of repeating theirs.
+    """
+    seen = edge = sources.select("query_id", "path").distinct().withColumn("hop", F.lit(0))
+    edges = edges.persist() if k > 1 else edges
     for hop in range(1, k + 1):
         edge = neighbours(edge, edges).join(seen, ["query_id", "path"], "left_anti").withColumn("hop", F.lit(hop))
+        edge = edge.persist() if hop < k else edge
         seen = seen.unionByName(edge)
     return seen.filter("hop > 0")

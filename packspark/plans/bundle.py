@@ -18,6 +18,7 @@ from packspark.operators import pack as P
 from packspark.operators import rank as R
 from packspark.operators import symbols as S
 from packspark.operators.candidates import COLUMNS, TIERS, candidates
+from packspark.session import scratch
 from packspark.settings import Settings
 from packspark.sources.workspace import Corpus
 
@@ -112,17 +113,15 @@ def assemble(analysis: DataFrame, found: DataFrame, limits: DataFrame, settings:
     return out.select("query_id", "intent", "budget_used", "budget_limit", "chunks", summary.alias("excluded_summary"), F.coalesce("optional", F.lit(0)).alias("optional_chunks_used"))
 
 
-def keeper(path: str | None) -> Callable[[DataFrame, str], DataFrame]:
-    """How a state's tables are held: stored below path and read back, or persisted in the session.
-
-    Stored tables outlive the session, and plans that build on them stay small.
-    """
+def keeper(spark: SparkSession, path: str | None) -> Callable[[DataFrame, str], DataFrame]:
+    """How a state's tables are held: stored below path (without one, in the session's shared scratch
+    folder) and read back. What is stored outlives lost executors, is computed once, and keeps the
+    plans that build on it small."""
+    base = path or scratch(spark, "state")
 
     def hold(df: DataFrame, name: str) -> DataFrame:
-        if path is None:
-            return df.persist()
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     return hold
 
@@ -139,12 +138,12 @@ def prepare(
     queries: DataFrame, index: Index, settings: Settings | None = None, predicted: DataFrame | None = None, extra_hits: DataFrame | None = None, state_path: str | None = None
 ) -> Bundles:
     """Bundles for queries (query_id, query, optionally max_tokens and intent), their state stored
-    below state_path or, without one, persisted.
+    below state_path (see keeper).
 
     predicted: query_id and predicted, budgets of a trained model. extra_hits: further candidates,
     such as those of vector search, merged behind the keyword hits.
     """
-    settings, hold = settings or Settings(), keeper(state_path)
+    settings, hold = settings or Settings(), keeper(index.corpus.files.sparkSession, state_path)
     analysis = hold(signals.analyze(queries, settings), "raw_analysis")
     found = G.grep(queries, index.corpus, settings)
     if extra_hits is not None:
@@ -183,9 +182,9 @@ def expand(state: Bundles, requests: DataFrame, index: Index, settings: Settings
     a second import hop; all candidates are ranked and packed again under the same bundle_id.
 
     extra_tokens that are null or 0 give half the limit. Queries without a request are left out. The
-    new state is stored below state_path, which must not be the old one's, or persisted.
+    new state is stored below state_path, which must not be the old one's.
     """
-    settings, hold = settings or Settings(), keeper(state_path)
+    settings, hold = settings or Settings(), keeper(index.corpus.files.sparkSession, state_path)
     files = index.corpus.files
     asked = requests.select("query_id", "focus", "extra_tokens")
     old = state.candidates.join(asked.select("query_id"), "query_id", "left_semi")
