@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from packspark.llm.common import stash
 
 
+#: Into how many parts the neighbours of one node are dealt where each needs the node's minimum.
+SALTS = 16
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("h")).first()
     return r["n"], r["h"]
@@ -17,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node that it reaches, for all nodes that have an edge.
 
     edges: two columns of one type; order, direction, repeats and loops don't matter. Every round
-    is a few aggregations by node, with partial sums before the shuffle and joins that adaptive
-    execution splits, so that a node with very many neighbours is no problem; rounds are stored
-    in the shared folder, so that the lineage stays short and lost executors cost no earlier round.
+    is a few aggregations by node, which combine before the shuffle, and joins in which the
+    neighbours of a node are dealt by a salt, so that a node with very many of them is no problem.
+    Rounds are stored in the shared folder: the lineage stays short, and lost executors cost no
+    earlier round.
     """
     a, b = (F.col(c) for c in edges.columns)
     pairs = edges.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
@@ -28,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        dealt = both.filter("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = dealt.join(least.withColumn("salt", salt), ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         first = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(first, "v")
         after = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
