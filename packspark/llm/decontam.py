@@ -110,11 +110,11 @@ def _summed(df: DataFrame, dtype: type, shape: tuple[int, ...]) -> np.ndarray:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(p, dtype).astype(np.float64) for p in pdf["part"]], axis=0)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.astype(dtype).tobytes()]})
 
-    out = np.zeros((BLOCKS, V // BLOCKS, *shape))
+    out = np.zeros((BLOCKS, V // BLOCKS, *shape), dtype)
     for r in df.groupBy("block").applyInPandas(add, "block int, part binary").collect():
-        out[r["block"]] = np.frombuffer(r["part"], np.float64).reshape(out.shape[1:])
+        out[r["block"]] = np.frombuffer(r["part"], dtype).reshape(out.shape[1:])
     return out.reshape(V, *shape)
 
 
@@ -147,8 +147,8 @@ def latent_basis(tokens: DataFrame, df: np.ndarray, passages: int, rank: int = R
     """The latent row of each word (V x rank), scaled by its weight in a passage, and its idf."""
     idf = np.log((1 + passages) / (1 + df))
     scale = 1 / np.sqrt(np.maximum(df, 1))  # with this, every column of A has about unit length
-    random = np.random.default_rng(seed).standard_normal((V, rank))
-    start = (random * scale[:, None]).astype(np.float32)
+    random = np.random.default_rng(seed).standard_normal((V, rank), np.float32)
+    start = random * scale[:, None].astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((V, rank), np.float32)
@@ -165,10 +165,16 @@ def latent_basis(tokens: DataFrame, df: np.ndarray, passages: int, rank: int = R
             total[ordered[first]] += np.add.reduceat(y[np.cumsum(number)[order]], first, axis=0)  # A' (A G)
         yield pa.RecordBatch.from_pandas(_parts(total).astype({"block": "int32"}), preserve_index=False)
 
-    b = _summed(tokens.select("ids").mapInArrow(sketch, "block int, part binary"), np.float32, (rank,)) * scale[:, None]
-    u, _, _ = np.linalg.svd(b + shift * random, full_matrices=False)
+    b = _summed(tokens.select("ids").mapInArrow(sketch, "block int, part binary"), np.float32, (rank,))
+    b *= scale[:, None].astype(np.float32)
+    random *= np.float32(shift)
+    b += random
+    # The left singular vectors of the tall matrix, from the small one of its columns' products.
+    values, turn = np.linalg.eigh(b.T.astype(np.float64) @ b)
+    u = b @ (turn / np.sqrt(np.maximum(values, 1e-12))).astype(np.float32)
     weight = np.maximum(idf - IDF_FLOOR, IDF_LEAST)
-    return (u * weight[:, None] / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)).astype(np.float32), idf
+    u *= (weight / np.maximum(np.linalg.norm(u, axis=1), 1e-12)).astype(np.float32)[:, None]
+    return u, idf
 
 
 def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:

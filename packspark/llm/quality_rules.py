@@ -15,6 +15,7 @@ least a half; null labels are ignored.
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -118,21 +119,25 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([(x[:, f] > t) if up else (x[:, f] <= t) for f, t, up in rule])
 
 
-def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Intercept and weights of an L1 logistic regression by accelerated proximal gradient."""
-    n, k = r.shape
-    b = float(np.log(y.mean() / (1 - y.mean())))
+def lasso(r: np.ndarray, y: np.ndarray, penalty: float, use: np.ndarray, steps: int = 400) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an L1 logistic regression on the rows in use, by accelerated proximal
+    gradient; r is float32 and never copied."""
+    n, k = int(use.sum()), r.shape[1]
+    share = float(y[use].mean())
+    b = float(np.log(share / (1 - share)))
     w, vw, vb, t = np.zeros(k), np.zeros(k), b, 1.0
+    times = lambda v: (r @ v.astype(np.float32)).astype(np.float64)
+    back = lambda e: (e.astype(np.float32) @ r).astype(np.float64)
     v = np.ones(k) / np.sqrt(k)
     top = 1.0
     for _ in range(15):
-        v = r.T @ (r @ v) / n
+        v = back(np.where(use, times(v), 0.0)) / n
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
     step = 1 / (0.25 * (top + 1))
     for _ in range(steps):
-        e = (1 / (1 + np.exp(-np.clip(vb + r @ vw, -500, 500))) - y) / n
-        nw = vw - step * (r.T @ e)
+        e = np.where(use, 1 / (1 + np.exp(-np.clip(vb + times(vw), -500, 500))) - y, 0.0) / n
+        nw = vw - step * back(e)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
         nb = vb - step * e.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -145,25 +150,24 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
     """Rules and weights from statistics x (in the order of NAMES) and labels y."""
     if len(y) == 0 or y.min() == y.max():
         return Model(0.0, [], float(y.mean()) if len(y) else 0.5)
-    rules = tree_rules(x, y)
+    # Of rules that hold for the same rows the first stands for all.
+    first: dict[bytes, Rule] = {}
+    for rule in tree_rules(x, y):
+        first.setdefault(hashlib.blake2b(np.packbits(holds(rule, x)).tobytes(), digest_size=16).digest(), rule)
+    rules = list(first.values())
     if not rules:
         return Model(0.0, [], float(y.mean()))
-    r = np.stack([holds(rule, x) for rule in rules], 1).astype(np.float32)
-    seen, keep = set(), []
-    for k in range(r.shape[1]):  # rules that hold for the same rows count once
-        key = r[:, k].tobytes()
-        if key not in seen:
-            seen.add(key)
-            keep.append(k)
-    rules, r = [rules[k] for k in keep], r[:, keep]
-    check = np.arange(len(y)) % 5 == 0
+    r = np.empty((len(y), len(rules)), np.float32)
+    for k, rule in enumerate(rules):
+        r[:, k] = holds(rule, x)
+    check, everyone = np.arange(len(y)) % 5 == 0, np.ones(len(y), bool)
     best = (np.inf, PENALTIES[0])
     if y[~check].min() != y[~check].max() and check.any():
         for penalty in PENALTIES:
-            b, w = lasso(r[~check], y[~check], penalty)
-            m = b + r[check] @ w
+            b, w = lasso(r, y, penalty, ~check)
+            m = (b + r @ w.astype(np.float32))[check].astype(np.float64)
             best = min(best, (float(np.mean(np.logaddexp(0, m) - y[check] * m)), penalty))
-    b, w = lasso(r, y, best[1])
+    b, w = lasso(r, y, best[1], everyone)
     return Model(b, [(rules[k], float(w[k])) for k in np.flatnonzero(np.abs(w) > 1e-6)])
 
 
