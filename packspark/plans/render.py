@@ -23,7 +23,7 @@ def markdown(state: Bundles, workspace: str) -> DataFrame:
     any_signal = (F.size(named) > 0) | (F.size(s["inferred_files"]) > 0)
     none = F.array().cast("array<string>")
     head = F.array(
-        F.lit("# Context Engineering — budgeted codebase context"), F.lit(""),
+        F.lit("# Budgeted codebase context"), F.lit(""),
         F.concat(F.lit("**Query:** "), F.col("query")),
         F.lit(f"**Workspace:** {workspace}"),
         F.concat(F.lit("**Intent:** "), F.col("intent"), F.lit(" (confidence "), F.bround(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%)")),

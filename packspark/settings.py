@@ -9,11 +9,11 @@ from collections.abc import Callable, Mapping
 from pathlib import Path
 
 #: Environment variable, TOML file and TOML section that set a workspace up.
-WORKSPACE_VARIABLE = "CONTEXT_ENG_WORKSPACE"
-SETTINGS_FILE, SETTINGS_SECTION = "context-eng.toml", "context_eng"
+WORKSPACE_VARIABLE = "PACKSPARK_WORKSPACE"
+SETTINGS_FILE, SETTINGS_SECTION = "packspark.toml", "packspark"
 
 #: Names that are never scanned.
-IGNORED = (".git", "node_modules", "dist", "build", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".context-eng")
+IGNORED = (".git", "node_modules", "dist", "build", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".packspark")
 
 #: Intent -> (recommended, least, most) tokens.
 INTENT_BUDGETS = {
@@ -66,7 +66,7 @@ class Settings:
 
     @property
     def state_dir(self) -> str:
-        return f"{self.workspace_root}/.context-eng"
+        return f"{self.workspace_root}/.packspark"
 
     @property
     def manifest_path(self) -> str:

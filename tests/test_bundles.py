@@ -183,7 +183,7 @@ def test_manifest(spark, tmp_path):
     assert {r["path"] for r in corpus.files.collect()} == {"src/alpha.py", "pkg/__init__.py", "no_newline.MD", "new.py"}
     stats, again = W.repo_stats(now).first(), W.manifest_stats(W.entries_of(W.load_manifest(spark, conf))).first()
     assert stats["file_count"] == again["file_count"] == 4 and stats["loc_log"] == again["loc_log"]
-    (tmp_path / ".context-eng/manifest.json").rename(tmp_path / ".context-eng/gone")
+    (tmp_path / ".packspark/manifest.json").rename(tmp_path / ".packspark/gone")
     assert W.load_manifest(spark, conf) is None
 
 

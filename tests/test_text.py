@@ -94,7 +94,7 @@ def test_signals(spark):
 
 def test_settings(tmp_path, monkeypatch):
     assert S.load(str(tmp_path)) == S.Settings(workspace_root=str(tmp_path))
-    (tmp_path / S.SETTINGS_FILE).write_text('[context_eng]\ndefault_max_tokens = "5000"\nmin_chunk_score = 1\nenable_anchor_inference = "false"\nignore_globs = ["x"]\nevents_path = "no"\n[context_eng.intent_budgets]\ndebug = [1, 2, 3]\n')
+    (tmp_path / S.SETTINGS_FILE).write_text('[packspark]\ndefault_max_tokens = "5000"\nmin_chunk_score = 1\nenable_anchor_inference = "false"\nignore_globs = ["x"]\nevents_path = "no"\n[packspark.intent_budgets]\ndebug = [1, 2, 3]\n')
     got = S.load(str(tmp_path))
     assert (got.default_max_tokens, got.min_chunk_score, got.enable_anchor_inference, got.ignore_globs, got.events_path) == (5000, 1.0, True, ("x",), None)
     assert got.intent_budgets["debug"] == (1, 2, 3) and got.intent_budgets["review"] == (5000, 2500, 8000)
@@ -102,4 +102,4 @@ def test_settings(tmp_path, monkeypatch):
     assert S.load(str(tmp_path)).default_max_tokens == 8000
     monkeypatch.setenv(S.WORKSPACE_VARIABLE, str(tmp_path))
     assert S.resolve_workspace() == str(tmp_path) and S.resolve_workspace("/") == "/"
-    assert got.events.endswith(".context-eng/events.jsonl") and got.manifest_path.endswith("manifest.json")
+    assert got.events.endswith(".packspark/events.jsonl") and got.manifest_path.endswith("manifest.json")
