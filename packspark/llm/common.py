@@ -70,6 +70,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda, Spark would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_key(*cols: Column | str) -> list[Column]:
     """Two 64-bit hashes of the columns as a key of 128 bits that is never null."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *cols).alias("k2")]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import row_key
+from packspark.llm.common import let, row_key
 
 WIDTH = 3
 _OWN = ["_k1", "_k2", "_order", "_lines", "_at", "_removed"]
@@ -58,7 +58,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     joined = keyed.join(removed, ["_k1", "_k2"], "left")
     gone = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
     n = F.coalesce(F.size(lines), F.lit(0))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), gone), lambda i: F.get(lines, i))
+    left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)))
     starts = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) < x - 1))
     return joined.withColumns(
         {
