@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +56,15 @@ def snippet(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, start, F.greatest(F.lit(0), end - start + 1)), "\n")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda, Spark would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_by_lower(words: Column) -> Column:
     """Words without later ones that differ in case only, in order."""
-    low = F.transform(words, F.lower)
-    return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    keep = lambda ws: lambda low: F.filter(ws, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    return let(words, lambda ws: let(F.transform(ws, F.lower), keep(ws)))
 
 
 def keywords(query: Column | str, extra: Column | None = None) -> Column:
@@ -67,8 +74,7 @@ def keywords(query: Column | str, extra: Column | None = None) -> Column:
     if extra is not None:
         raw = F.concat(raw, F.flatten(F.transform(extra, lambda t: F.regexp_extract_all(t, F.lit(KEYWORD), F.lit(0)))))
     plain = F.filter(raw, lambda w: ~F.lower(w).isin(*STOPWORDS))
-    parts = lambda w: F.split(w, HUMP, -1)
-    humps = lambda w: F.when(F.size(parts(w)) > 1, F.filter(parts(w), lambda p: F.length(p) >= 3)).otherwise(F.array().cast("array<string>"))
+    humps = lambda w: F.when(w.rlike("[a-z0-9][A-Z]"), F.filter(F.split(w, HUMP, -1), lambda p: F.length(p) >= 3)).otherwise(F.array().cast("array<string>"))
     return distinct_by_lower(F.flatten(F.transform(plain, lambda w: F.concat(F.array(w), humps(w)))))
 
 
