@@ -52,7 +52,7 @@ LCS_SHARE = 0.6
 ANSWER_SHARE = 0.34
 BLOCK_PIECES = 2_000
 BLOCKS = 64  # in how many parts a table of V rows is summed
-STEP_WORDS = 200_000
+STEP_WORDS = 100_000
 
 _SPLIT = np.ones(256, bool)
 _SPLIT[128:] = False

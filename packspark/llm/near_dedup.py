@@ -42,7 +42,7 @@ BROADCAST_ROWS = 200_000
 #: 64-bit words of the parity bitmap that bounds the difference of two sets from below.
 PARITY_WORDS = 8
 #: Bytes of text that one vectorised step takes.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
