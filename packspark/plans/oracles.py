@@ -223,3 +223,17 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINU
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, s.n""",
 }
+
+#: Columns that are 64-bit in Spark and that DuckDB takes for 32-bit ones.
+_LONG = {
+    "intent_classify": ("recommended", "least", "most"),
+    "symbol_spans_py": ("ord", "start_line", "end_line"),
+    "symbol_spans_brace": ("ord", "start_line", "end_line"),
+    "symbol_lookup": ("query_id", "start_line", "end_line"),
+    "import_edges": ("ord",),
+    "import_hops": ("query_id", "hop"),
+    "budget_rules": ("bucket", "fitted", "cap"),
+    **{k: ("query_id",) for k in ("query_signals", "grep_hits", "grep_islands", "grep_chunks", "grep_topk", "path_resolve", "anchor_rank", "must_token_estimate")},
+}
+for _name, _columns in _LONG.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
