@@ -16,6 +16,8 @@ from packspark.session import table
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
+#: Documents whose shingle sets reach this Jaccard similarity, in hundredths, are near copies, as in op9.
+NEAR = 85
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies, once."""
-    found = near_dedup.near_dups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    found = near_dedup.near_dups(docs, NEAR).filter("kept").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     kept = stash(found.groupBy("_id", "_t1", "_t2").agg(F.count(F.lit(1)).alias("_rows")), "kept")
     t1, t2 = row_key("text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_t1")) & (F.col("_b") == F.col("_t2"))

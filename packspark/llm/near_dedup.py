@@ -13,7 +13,9 @@
    formed, and again confirmed on full sets.
 5. Components of all confirmed links, as tables; nothing is collected.
 
-A pair at the threshold misses all BANDS buckets with probability (1 - 0.85^ROWS)^BANDS < 1e-10.
+The threshold is NUMERATOR / DENOMINATOR unless the caller gives another numerator. A pair at
+threshold t misses all BANDS buckets with probability (1 - t^ROWS)^BANDS: below 1e-10 at 0.85, below
+1e-7 at 0.80.
 
 Null and empty texts, and texts of blanks, have an empty set and link with nothing; texts of fewer
 than five words have one shingle, the whole sequence; repeated rows are in one class; a null doc_id
@@ -22,12 +24,12 @@ can be linked but is nobody's representative (alone, its component is null and i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packspark.llm.common import arrow_udf, row_key, stash
@@ -211,23 +213,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ODD = [f"odd{i}" for i in range(PARITY_WORDS)]
 
 
-@arrow_udf("boolean")
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def _linked(numerator: int) -> Callable[..., Column]:
     """Whether two full sets reach the threshold."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.searchsorted(y, x)
-        common = int((y[np.minimum(both, len(y) - 1)] == x).sum())
-        out.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-    return pd.Series(out, dtype=bool)
+
+    @arrow_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.searchsorted(y, x)
+            common = int((y[np.minimum(both, len(y) - 1)] == x).sum())
+            out.append(DENOMINATOR * common >= numerator * (len(x) + len(y) - common))
+        return pd.Series(out, dtype=bool)
+
+    return linked
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return both.filter(_linked("x", "y")).select("a", "b")
+    return both.filter(_linked(numerator)("x", "y")).select("a", "b")
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +245,7 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([take(fp), take(root), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["fp", "root", "n", "h"])
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
+def prefix_pairs(sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """Candidate pairs (a, b) among sets (fp, root, set, parity bitmap) of different roots: all that
     can reach the threshold, found on the prefixes of the sets in order of rarity.
 
@@ -251,7 +257,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     rows = sets.select("fp", "root", "set").mapInArrow(_explode_sets, "fp binary, root binary, n long, h long")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     spent = F.col("n") - F.size("hs")
-    width = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    width = F.col("n") - F.ceil(F.col("n") * numerator / DENOMINATOR) + 1
     places = (
         rows.join(often, "h")
         .groupBy("fp", "root", "n")
@@ -262,15 +268,15 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         .select("fp", "root", "n", *ODD, (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"))
     )
     x, y = (places.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at", *ODD)]) for s in "xy")
-    o = F.ceil((F.col("n_x") + F.col("n_y")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    o = F.ceil((F.col("n_x") + F.col("n_y")) * numerator / (numerator + DENOMINATOR))
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("fp_x") < F.col("fp_y")))
-    reach = (F.col("at_x") <= F.col("n_x") - o) & (F.col("at_y") <= F.col("n_y") - o) & (F.col("n_x") * DENOMINATOR >= F.col("n_y") * NUMERATOR)
+    reach = (F.col("at_x") <= F.col("n_x") - o) & (F.col("at_y") <= F.col("n_y") - o) & (F.col("n_x") * DENOMINATOR >= F.col("n_y") * numerator)
     apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ODD), F.lit(0))
     close = apart <= F.col("n_x") + F.col("n_y") - 2 * o
     return x.join(y, (x["h"] == y["h"]) & smaller & reach & (F.col("root_x") != F.col("root_y")) & close).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
 
 
-def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame]:
     """(sketch, components): a row (doc_id, t1, t2, n, fp) for each row of df (doc_id, text), and
     (fp, root) for each class that is linked with another."""
     k1, k2 = row_key("text")
@@ -288,25 +294,25 @@ def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "raw")
     sets = stash(rows.mapInArrow(_sets, ", ".join(["fp binary, set binary", *[f"{c} long" for c in ODD]])).dropDuplicates(["fp"]), "sets")
 
-    possible = (F.least("n", "hub_n") * DENOMINATOR) >= (F.greatest("n", "hub_n") * NUMERATOR)
+    possible = (F.least("n", "hub_n") * DENOMINATOR) >= (F.greatest("n", "hub_n") * numerator)
     star = members.filter(possible & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    found = stash(confirm(star, sets), "links")
+    found = stash(confirm(star, sets, numerator), "links")
     roots = components(found)
 
     rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     rest = rooted.join(open_, "key", "left_semi").select("fp", "root").distinct()
-    more = stash(confirm(prefix_pairs(sets.join(rest, "fp")), sets), "links")
+    more = stash(confirm(prefix_pairs(sets.join(rest, "fp"), numerator), sets, numerator), "links")
     if more.isEmpty():
         return sketch, roots.withColumnRenamed("node", "fp")
     # What is linked already counts as its root, so only few edges meet here.
     return sketch, components(found.unionByName(more)).withColumnRenamed("node", "fp")
 
 
-def near_dups(df: DataFrame) -> DataFrame:
+def near_dups(df: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """For each row of df (doc_id, text): doc_id, n_shingles, component_id, kept, and t1, t2
     (hashes of the text)."""
-    sketch, linked = links(df.select("doc_id", "text"))
+    sketch, linked = links(df.select("doc_id", "text"), numerator)
     classes = sketch.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     rooted = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("rows").alias("all")).filter("all > 1")

@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_dups(table(spark, sf_dir, "documents"))
+    found = near_dedup.near_dups(table(spark, sf_dir, "documents"), 85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
