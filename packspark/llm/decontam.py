@@ -10,7 +10,9 @@
    the latent basis. The shift keeps words that share few passages apart, which a low rank alone
    would not. A passage is the sum of its words' rows, weighed by how rare they are.
 4. Benchmark items are cut into pieces of at most 64 words. Every window of each document, at the
-   width next to a piece's length, is compared with the piece by cosine in the latent space.
+   width next to a piece's length, is compared with the piece by cosine in the latent space. Beside
+   this, windows that hold enough of a piece's rarest words for the answer check of 5 are found by
+   an inverted index, whatever their cosine: foreign words around an item can't hide it.
 5. A candidate counts if the longest common subsequence of words covers LCS_SHARE of the piece
    (so inserted, dropped and replaced words are survived) and, as the answer check, the piece's
    rarest third of words, which carry what is asked and answered, is there to ANSWER_SHARE.
@@ -25,6 +27,7 @@ they can't be told from chance; repeated rows match alike; without items there a
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,12 +208,48 @@ class Pieces:
             self.masks.append(masks)
             distinct = sorted(set(w.tolist()), key=lambda x: (-idf[x], x))
             self.rare.append(set(distinct[: max(1, len(distinct) // 3)]))
+        # The rarest words by number, with the pieces that have them, and how many of them a piece needs.
+        pairs = sorted((w, p) for p, rare in enumerate(self.rare) for w in rare)
+        self.rare_piece = np.array([p for _, p in pairs], np.int64)
+        self.rare_count = np.bincount([w for w, _ in pairs], minlength=V)
+        self.rare_first = np.cumsum(self.rare_count) - self.rare_count
+        self.need = np.array([math.ceil(ANSWER_SHARE * len(r)) for r in self.rare], np.int64)
         vectors = np.stack([table[w].sum(0) for w in self.words])
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        size = np.array([len(w) for w in self.words])
+        self.size = size = np.array([len(w) for w in self.words])
         self.at = {s: np.flatnonzero((size > (s * CELL * 5 // 8 if s > SCALES[0] else 0)) & (size <= (s * CELL * 5 // 4 if s < SCALES[-1] else 1 << 30))) for s in SCALES}
 
 
+def rare_places(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, place) of each occurrence of a piece's rarest words, in order."""
+    at = np.flatnonzero(pieces.rare_count[ids])
+    n = pieces.rare_count[ids[at]]
+    row = np.repeat(pieces.rare_first[ids[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    piece = pieces.rare_piece[row]
+    order = np.argsort(piece, kind="stable")
+    return piece[order], np.repeat(at, n)[order]
+
+
+def rare_windows(piece: np.ndarray, place: np.ndarray, starts: np.ndarray, pieces: Pieces, who: np.ndarray, scale: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, cell in it, piece) of at least all windows of a scale that have enough of the
+    rarest words of one of the pieces ``who``; cells may lie behind the document's last window."""
+    ok = np.zeros(len(pieces.size), bool)
+    ok[who] = True
+    ok = ok[piece]
+    piece, place = piece[ok], place[ok]
+    doc = np.searchsorted(starts, place, side="right") - 1
+    to = np.arange(len(piece)) + pieces.need[piece] - 1
+    inside = np.minimum(to, len(piece) - 1)
+    half = pieces.size[piece] // 2
+    ok = (to < len(piece)) & (piece[inside] == piece) & (doc[inside] == doc) & (place[inside] - place < scale * CELL + 2 * half)
+    piece, doc, half, first, last = piece[ok], doc[ok], half[ok], (place - starts[doc])[ok], (place[inside] - starts[doc])[ok]
+    low = np.maximum(0, (last - scale * CELL - half) // CELL + 1)
+    high = (first + half) // CELL // step * step
+    many = np.maximum(0, (high - low) // step + 1)
+    cell = np.repeat(high, many) - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * step
+    return np.repeat(doc, many), cell, np.repeat(piece, many)
+
+
 def find(ids: np.ndarray, starts: np.ndarray, pieces: Pieces, table: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float]]:
     """(document number, piece, first word, last word + 1, cosine, share of the LCS) of matches."""
     cells = pieces_of(starts, CELL)
@@ -223,31 +262,39 @@ def find(ids: np.ndarray, starts: np.ndarray, pieces: Pieces, table: np.ndarray)
     first = last - np.repeat(per, per)
     doc = np.repeat(np.arange(len(per)), per)
     number = np.arange(len(cells))
+    piece, place = rare_places(ids, pieces)
     for scale in SCALES:
         who = pieces.at[scale]
         if not len(who):
             continue
         step = max(1, scale // 4)
-        at = number[((number - first) % step == 0) & ((number + scale <= last) | (number == first) | (number + scale - step < last))]
-        end = np.minimum(at + scale, last[at])
+        window = ((number - first) % step == 0) & ((number + scale <= last) | (number == first) | (number + scale - step < last))
+        at = number[window]
+        seen_at, cell, p = rare_windows(piece, place, starts, pieces, who, scale, step)
+        inside = cell < per[seen_at]
+        cell, p = (cell + np.cumsum(per)[seen_at] - per[seen_at])[inside], p[inside]
+        keys = [(cell * len(pieces.items) + p)[window[cell]]]
         for k in range(0, len(at), 20_000):
-            a, b = at[k : k + 20_000], end[k : k + 20_000]
-            x = sums[b] - sums[a]
+            a = at[k : k + 20_000]
+            x = sums[np.minimum(a + scale, last[a])] - sums[a]
             x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-            cosine = x @ pieces.vectors[who].T
-            for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                d, p = doc[a[i]], int(who[j])
-                m = len(pieces.words[p])
-                # What surrounds the window by half a piece belongs to it, within the document.
-                lo = max(starts[d], cells[a[i]] - m // 2)
-                hi = min(starts[d + 1], (cells[b[i]] if b[i] < len(cells) and b[i] < last[a[i]] else starts[d + 1]) + m // 2)
-                seen = ids[lo:hi].tolist()
-                held = set(seen)
-                if sum(w in held for w in pieces.rare[p]) < ANSWER_SHARE * len(pieces.rare[p]):
-                    continue
-                share = lcs(pieces.masks[p], m, seen) / m
-                if share >= LCS_SHARE:
-                    yield int(d), p, int(lo - starts[d]), int(hi - starts[d]), float(cosine[i, j]), share
+            i, j = np.nonzero(x @ pieces.vectors[who].T >= COSINE)
+            keys.append(a[i] * len(pieces.items) + who[j])
+        for key in np.unique(np.concatenate(keys)).tolist():
+            a, p = divmod(key, len(pieces.items))
+            b = min(a + scale, int(last[a]))
+            d, m = doc[a], len(pieces.words[p])
+            # What surrounds the window by half a piece belongs to it, within the document.
+            lo = max(starts[d], cells[a] - m // 2)
+            hi = min(starts[d + 1], (cells[b] if b < last[a] else starts[d + 1]) + m // 2)
+            seen = ids[lo:hi].tolist()
+            held = set(seen)
+            if sum(w in held for w in pieces.rare[p]) < ANSWER_SHARE * len(pieces.rare[p]):
+                continue
+            share = lcs(pieces.masks[p], m, seen) / m
+            if share >= LCS_SHARE:
+                x = sums[b] - sums[a]
+                yield int(d), p, int(lo - starts[d]), int(hi - starts[d]), float(x @ pieces.vectors[p] / max(np.linalg.norm(x), 1e-9)), share
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, int, np.ndarray]]]:
