@@ -14,11 +14,14 @@ hold the others: strings meet by content-defined anchors.
    is cut in two, so that all strings of a part also have the SIDE bytes before or behind the anchor
    in common, and goes with its bytes to the shard of that longer anchor. Parts whose longer anchor
    nothing else has are dropped there; the others are sorted by external induced sorting
-   (``induced_sort``), which yields the sets of equal strings. An anchor with very many classes (a
-   frequent phrase) is dealt by the strings themselves instead.
+   (``induced_sort``), which yields the sets of equal strings. Strings of an anchor with very many
+   classes (a frequent phrase) are sent as hashes with their places instead: an aggregation, which
+   first combines within each task, finds the first place of each string that repeats, and the
+   later places are joined with it.
 4. What goes from a document is merged, and the rest is joined up.
 
-Results are exact up to collisions of 128-bit hashes in step 2; step 3 compares bytes.
+Results are exact up to collisions of 128-bit hashes in step 2 and for anchors with very many
+classes; the sort of step 3 compares bytes.
 
 Null text counts as empty. If a doc_id is null or stands in several rows, documents are first
 numbered by (doc_id, null last, then hashes of the text); rows with equal doc_id and text are one
@@ -43,7 +46,7 @@ DEPTH = 100
 GRAM = 32
 SPAN = DEPTH - GRAM + 1  # grams in a string, and the most strings in a block
 SIDE = (DEPTH - GRAM) // 2
-#: Classes of one anchor beyond which its strings are dealt one by one.
+#: Classes of one anchor beyond which its strings are aggregated by their hashes.
 HOT_CLASSES = 5_000
 SHARD_BYTES = 16 << 20
 SORT_BUDGET = 64 << 20
@@ -104,7 +107,7 @@ def _key(data: bytes) -> int:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of blocks, by their longer anchors, or string by string if the anchor is hot."""
+    """The bytes of blocks, by their longer anchors."""
     for batch in batches:
         for raw, d, todo in zip(*[batch.column(c) for c in ("raw", "d", "todo")], strict=True):
             raw, d, shard, lo, seg = raw.as_py(), d.as_py(), [], [], []
@@ -117,15 +120,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in todo.as_py():
                 start = x["at"] >> 14
                 stop, anchor = start + (x["at"] >> 7 & 127), start + (x["at"] & 127)
-                if x["hot"]:
-                    for p in range(start, stop + 1):
-                        add(raw[p : p + DEPTH], p, p)
-                else:
-                    add(raw[anchor - SIDE : anchor + GRAM] + b"<", start, min(stop, anchor - SIDE))
-                    add(raw[anchor : anchor + GRAM + SIDE] + b">", max(start, anchor - SIDE + 1), stop)
+                add(raw[anchor - SIDE : anchor + GRAM] + b"<", start, min(stop, anchor - SIDE))
+                add(raw[anchor : anchor + GRAM + SIDE] + b">", max(start, anchor - SIDE + 1), stop)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([d] * len(lo), pa.int64()), pa.array(lo, pa.int64()), pa.array(seg, pa.binary())], names=["shard", "d", "lo", "seg"])
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of blocks of hot anchors: 128 bits of hash and the place of each."""
+    for batch in batches:
+        for raw, d, todo in zip(*[batch.column(c) for c in ("raw", "d", "todo")], strict=True):
+            raw, d, todo = raw.as_py(), d.as_py(), todo.as_py()
+            for k in range(0, len(todo), 1_000):
+                lo = [p for at in todo[k : k + 1_000] for p in range(at >> 14, (at >> 14) + (at >> 7 & 127) + 1)]
+                h = np.frombuffer(b"".join(hashlib.blake2b(raw[p : p + DEPTH], digest_size=16).digest() for p in lo), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(len(lo), d, np.int64)), pa.array(lo, pa.int64())], names=["h1", "h2", "d", "lo"])
+
+
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of the strings of a shard that have an earlier equal one in it."""
     held_batches = list(batches)
@@ -176,6 +186,18 @@ def numbered(df: DataFrame) -> tuple[DataFrame, bool]:
     return rows.join(named, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("d", "doc_id", "raw"), False
 
 
+def hot_repeats(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(d, lo, hi) of the strings of blocks (d, at) that have an earlier equal one among them."""
+    todo = blocks.groupBy("d").agg(F.collect_list("at").alias("todo"))
+    strings = stash(docs.select("d", "raw").join(todo, "d").mapInArrow(_strings, "h1 long, h2 long, d long, lo long"), "strings")
+    place = F.struct("d", "lo")
+    first = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
+    later = strings.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+    out = stash(later.select("d", "lo", (F.col("lo") + DEPTH).alias("hi")), "repeats")
+    discard(strings)
+    return out
+
+
 def removed_ranges(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(d, lo, hi): ranges of bytes that go, which may overlap, for docs (d, raw)."""
     spark = docs.sparkSession
@@ -198,13 +220,18 @@ def removed_ranges(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame
     release(spark)
 
     several = classes.filter("multi").select("a", "p0.d", "p0.at")
-    hot = several.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_classes).select("a", F.lit(True).alias("hot"))
-    todo = several.join(hot, "a", "left").groupBy("d").agg(F.collect_list(F.struct("a", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
+    hot = stash(several.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_classes).select("a"), "hot")
+    any_hot = not hot.isEmpty()
+    rest = several.join(hot, "a", "left_anti") if any_hot else several
+    todo = rest.groupBy("d").agg(F.collect_list(F.struct("a", "at")).alias("todo"))
     segments = docs.select("d", "raw").join(todo, "d").mapInArrow(_segments, "shard long, d long, lo long, seg binary")
-    # One sort a partition, of SHARD_BYTES or so: an anchor has at most hot_classes blocks in one.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), several.count() * 2 * DEPTH // SHARD_BYTES)
+    # One sort a partition, of SHARD_BYTES or so: a longer anchor has at most hot_classes blocks, each once.
+    size = rest.agg(F.sum(F.shiftright("at", 7).bitwiseAND(F.lit(127)) + 1 + 2 * DEPTH)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
     repeats = stash(segments.repartition(parts, "shard").mapInArrow(_sorted_repeats, "d long, lo long, hi long"), "repeats")
-    del several, todo, segments
+    if any_hot:
+        repeats = repeats.unionByName(hot_repeats(docs, several.join(hot, "a", "left_semi")))
+    del several, rest, todo, segments
     discard(classes)
     release(spark)
     return whole.unionByName(repeats)
