@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import stash
+from packspark.llm.common import discard, release, stash
 
 
 #: Into how many parts the neighbours of one node are dealt where each needs the node's minimum.
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     is a few aggregations by node, which combine before the shuffle, and joins in which the
     neighbours of a node are dealt by a salt, so that a node with very many of them is no problem.
     Rounds are stored in the shared folder: the lineage stays short, and lost executors cost no
-    earlier round.
+    earlier round. Only the last round's table stays.
     """
     a, b = (F.col(c) for c in edges.columns)
     pairs = edges.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
@@ -35,12 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         dealt = both.filter("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
-        large = dealt.join(least.withColumn("salt", salt), ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        large = dealt.join(least.withColumn("salt", salt), ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
         first = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(first, "v")
         after = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
-        now = stash(after, "edges")
+        old, now = now, stash(after, "edges")
         before, mark = mark, _fingerprint(now)
+        discard(old)
+        release(edges.sparkSession)
         if mark == before:
             break
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import arrow_udf, row_key, stash
+from packspark.llm.common import arrow_udf, discard, every_place, join_facts, one_place, places, release, row_key, stash
 from packspark.llm.graph import components
 
 SHINGLE = 5
@@ -230,10 +230,17 @@ def _linked(numerator: int) -> Callable[..., Column]:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return both.filter(_linked(numerator)("x", "y")).select("a", "b")
+    """The pairs (a, b) whose full sets reach the threshold.
+
+    A hub is in as many pairs as its buckets have members, so its set is sent to several places; in
+    ``need``, if pairs have it, stands to how many.
+    """
+    if "need" not in pairs.columns:
+        pairs = pairs.withColumn("need", F.lit(1))
+    hubs = pairs.groupBy("a").agg(F.max("need").alias("most")).withColumn("at", every_place(F.col("most"))).drop("most")
+    left = hubs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
+    right = pairs.withColumn("at", one_place(F.col("need"), "b")).join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    return right.join(left, ["a", "at"]).filter(_linked(numerator)("x", "y")).select("a", "b")
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,22 +265,28 @@ def prefix_pairs(sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     spent = F.col("n") - F.size("hs")
     width = F.col("n") - F.ceil(F.col("n") * numerator / DENOMINATOR) + 1
-    places = (
+    prefixes = (
         rows.join(often, "h")
         .groupBy("fp", "root", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
         .filter(spent < width)
         .join(sets.select("fp", *ODD), "fp")
         .select("fp", "root", "n", *ODD, spent.alias("spent"), F.posexplode(F.slice("hs", F.lit(1), (width - spent).cast("int"))))
-        .select("fp", "root", "n", *ODD, (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"))
+        .select("fp", "root", "n", *ODD, (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"), places(F.col("col.f")).alias("need"))
     )
-    x, y = (places.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at", *ODD)]) for s in "xy")
+    # Roots meet first, so that the members of one component are never compared with each other,
+    # however many share a shingle. A frequent shingle's roots and members are dealt to several places.
+    roots = prefixes.select("h", "root", "need").distinct()
+    one, other = roots.withColumn("place", one_place(F.col("need"), "root")), roots.select("h", F.col("root").alias("root_y"), every_place(F.col("need")).alias("place"))
+    meet = one.join(other, ["h", "place"]).filter(F.col("root") != F.col("root_y")).select("h", F.col("root").alias("root_x"), "root_y", every_place(F.col("need")).alias("place"))
+    x, y = (prefixes.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at", *ODD)], one_place(F.col("need"), "fp").alias(f"place_{s}")) for s in "xy")
     o = F.ceil((F.col("n_x") + F.col("n_y")) * numerator / (numerator + DENOMINATOR))
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("fp_x") < F.col("fp_y")))
     reach = (F.col("at_x") <= F.col("n_x") - o) & (F.col("at_y") <= F.col("n_y") - o) & (F.col("n_x") * DENOMINATOR >= F.col("n_y") * numerator)
     apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ODD), F.lit(0))
     close = apart <= F.col("n_x") + F.col("n_y") - 2 * o
-    return x.join(y, (x["h"] == y["h"]) & smaller & reach & (F.col("root_x") != F.col("root_y")) & close).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
+    first = x.withColumnRenamed("place_x", "place").join(meet, ["h", "root_x", "place"]).drop("place")
+    return first.join(y.drop("place_y"), ["h", "root_y"]).filter(smaller & reach & close).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
 
 
 def links(df: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame]:
@@ -282,40 +295,53 @@ def links(df: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFra
     k1, k2 = row_key("text")
     keyed = df.select("doc_id", k1.alias("t1"), k2.alias("t2"), F.col("text").cast("binary").alias("raw"))
     sketch = stash(keyed.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, n long, fp binary, bands array<long>"), "sketch")
-    classes = sketch.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "n")).alias("one"), F.first("bands").alias("bands"))
-    buckets = classes.select("fp", F.col("one.n").alias("n"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    members = stash(buckets.join(shared, "key").select("key", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one")
+    buckets = sketch.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("fp", "n", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    members = stash(buckets.join(shared, "key").select("key", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), "rows"), "members")
 
     # The full sets of the classes that share a bucket, from the text of one document of each.
-    wanted = members.select("fp").distinct().join(classes.select("fp", "one.*"), "fp").select("fp", F.col("doc_id").alias("id"), "t1", "t2")
+    wanted = members.select("fp").distinct().join(sketch.filter("n > 0").groupBy("fp").agg(one), "fp").select("fp", F.col("one.doc_id").alias("id"), "one.t1", "one.t2")
     wanted = stash(wanted, "wanted")
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = keyed.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "raw")
     sets = stash(rows.mapInArrow(_sets, ", ".join(["fp binary, set binary", *[f"{c} long" for c in ODD]])).dropDuplicates(["fp"]), "sets")
+    discard(wanted)
 
     possible = (F.least("n", "hub_n") * DENOMINATOR) >= (F.greatest("n", "hub_n") * numerator)
-    star = members.filter(possible & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    star = members.filter(possible & (F.col("fp") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("fp").alias("b")).agg(F.max(places(F.col("rows"))).alias("need"))
     found = stash(confirm(star, sets, numerator), "links")
+    release(df.sparkSession)
     roots = components(found)
+    discard(found)
 
     rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    rest = rooted.join(open_, "key", "left_semi").select("fp", "root").distinct()
+    rest = stash(rooted.join(open_, "key", "left_semi").select("fp", "root").distinct(), "open")
     more = stash(confirm(prefix_pairs(sets.join(rest, "fp"), numerator), sets, numerator), "links")
-    if more.isEmpty():
-        return sketch, roots.withColumnRenamed("node", "fp")
-    # What is linked already counts as its root, so only few edges meet here.
-    return sketch, components(found.unionByName(more)).withColumnRenamed("node", "fp")
+    discard(sets, members)
+    release(df.sparkSession)
+    named = roots.withColumnRenamed("node", "fp")
+    if not more.isEmpty():
+        # What is linked already counts as its root, so only few edges meet here.
+        ends = more.join(rest.select(F.col("fp").alias("a"), F.col("root").alias("u")), "a").join(rest.select(F.col("fp").alias("b"), F.col("root").alias("v")), "b")
+        again = components(ends.select("u", "v")).select(F.col("node").alias("fp"), F.col("root").alias("over"))
+        joined = named.unionByName(again.select("fp", F.col("fp").alias("root"))).groupBy("fp").agg(F.min("root").alias("root"))
+        named = joined.join(again.select(F.col("fp").alias("root"), "over"), "root", "left").select("fp", F.coalesce("over", "root").alias("root"))
+    discard(rest, more)
+    return sketch, named
 
 
 def near_dups(df: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """For each row of df (doc_id, text): doc_id, n_shingles, component_id, kept, and t1, t2
     (hashes of the text)."""
     sketch, linked = links(df.select("doc_id", "text"), numerator)
-    classes = sketch.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    rooted = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("rows").alias("all")).filter("all > 1")
-    named = rooted.join(least, "root").select("fp", "component")
-    out = sketch.join(named, "fp", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    classes = sketch.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows"))
+    rooted = stash(classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("_rows").alias("all"), F.count(F.lit(1)).alias("_rows")).filter("all > 1").drop("all")
+    least = stash(least, "components")
+    named = stash(join_facts(rooted.withColumnRenamed("_rows", "copies"), least, ["root"]).select("fp", "component", F.col("copies").alias("_rows")), "named")
+    discard(rooted, least)
+    release(df.sparkSession)
+    out = join_facts(sketch.drop("bands"), named, ["fp"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t1", "t2")
