@@ -6,8 +6,12 @@ bytes: variable-length element ids and sizes (unknown sizes too), clusters, bloc
 simple blocks, Xiph, fixed-size and EBML lacing, cues. Both work on one value at a time, so
 memory is bounded by the longest value of a batch, and nothing depends on other rows.
 
-Null payloads count as empty and are padded like any other; bytes that are not Matroska give
-no packets and the error in ``problem``; repeated rows give equal values.
+Null payloads count as empty and are padded like any other; bytes that are not Matroska, break off or
+contradict themselves anywhere give no packets and the error in ``problem``, never an exception;
+repeated rows give equal values; rows don't depend on each other, so ties and null ids don't matter;
+very long values are handled whole, one at a time; an empty table gives an empty table. The result
+column replaces a column of its name; ``packet_table`` and ``media_digest`` return their own columns
+and those they are asked to keep.
 """
 
 from __future__ import annotations
@@ -152,13 +156,15 @@ def elements(data: bytes, at: int, end: int, inside: int | None = None) -> Itera
 def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
     """Track, relative timestamp, flags and the byte ranges of a block's frames."""
     track, at = read_varint(data, at, end)
-    if at + 3 > end:
+    if track is None or at + 3 > end:
         raise Malformed(f"block at {at} breaks off")
     relative, flags = struct.unpack_from(">hB", data, at)
     at += 3
     lacing = flags >> 1 & 3
     if lacing == 0:
         return track, relative, flags, [(at, end)]
+    if at >= end:
+        raise Malformed(f"laced block at {at} breaks off")
     n = data[at] + 1
     at += 1
     sizes: list[int] = []
@@ -169,8 +175,10 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple
     elif lacing == 1:
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                raise Malformed(f"laced sizes at {at} break off")
             sizes.append(size + data[at])
             at += 1
         sizes.append(end - at - sum(sizes))
@@ -199,8 +207,17 @@ def demux(data: bytes) -> dict:
     if not top or top[0][0] != EBML:
         raise Malformed("no EBML header")
     out: dict = {"tracks": {}, "packets": [], "cues": [], "clusters": [], "duration": 0.0, "scale": 1_000_000}
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
-    real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
+
+    def number(a: int, b: int) -> int:
+        if b - a > 8:
+            raise Malformed(f"integer at {a} has {b - a} bytes")
+        return int.from_bytes(data[a:b], "big")
+
+    def real(a: int, b: int) -> float:
+        if b - a not in (0, 4, 8):
+            raise Malformed(f"float at {a} has {b - a} bytes")
+        return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
+
     for kind, start, end in top:
         if kind != SEGMENT:
             continue
@@ -264,7 +281,7 @@ def add_packets(out: dict, data: bytes, start: int, end: int, base: int, key: bo
         out["packets"].append((track, ms, a, b, keyframe, LACINGS[flags >> 1 & 3], len(out["clusters"]) - 1))
 
 
-PACKET_TYPE = "struct<track:int,timestamp_ms:double,start:long,end:long,keyframe:boolean,lacing:string,cluster:int,codec:string>"
+PACKET_TYPE = "struct<track:long,timestamp_ms:double,start:long,end:long,keyframe:boolean,lacing:string,cluster:int,codec:string>"
 
 
 @arrow_udf("binary")
