@@ -17,10 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import let, row_key
+from packspark.llm.common import join_facts, let, row_key, stash, unused
 
 WIDTH = 3
-_OWN = ["_k1", "_k2", "_order", "_lines", "_at", "_removed"]
 
 
 def _window_hashes(lines: Column) -> Column:
@@ -37,26 +36,26 @@ def _window_hashes(lines: Column) -> Column:
 
 
 def removed_lines(df: DataFrame) -> DataFrame:
-    """The key of each document that loses lines, with the sorted numbers (from 0) of those lines."""
-    windows = df.select(*_OWN[:3], F.explode(_window_hashes(F.col("_lines"))).alias("_w")).select(
-        "_k1", "_k2", "_w.w1", "_w.w2", F.struct("_order.*", F.col("_w.at").alias("at")).alias("place")
-    )
-    repeated = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
-    later = windows.join(repeated.select("w1", "w2", "first"), ["w1", "w2"]).filter("place > first")
+    """k1, k2 of each document of df (k1, k2, order, lines) that loses lines, with the sorted numbers
+    (from 0) of those lines. A window that very many documents share is dealt to several places."""
+    windows = df.select("k1", "k2", "order", F.explode(_window_hashes(F.col("lines"))).alias("w")).select("k1", "k2", "w.w1", "w.w2", F.struct("order.*", F.col("w.at").alias("at")).alias("place"))
+    repeated = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("_rows")).filter("first <> last")
+    later = join_facts(windows, stash(repeated.drop("last"), "windows"), ["w1", "w2"]).filter("place > first")
     covered = F.flatten(F.transform(F.collect_set("place.at"), lambda p: F.array(*[p + d for d in range(WIDTH)])))
-    return later.groupBy("_k1", "_k2").agg(F.sort_array(F.array_distinct(covered)).alias("_removed"))
+    return later.groupBy("k1", "k2").agg(F.sort_array(F.array_distinct(covered)).alias("removed"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with ``text`` freed of repeated windows, and n_lines, n_removed, n_spans (columns of
-    these names are replaced; all others pass through)."""
+    these names are replaced; all others pass through, whatever they are called)."""
     k1, k2 = row_key(doc_id, text)
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), k1.alias("k1"), k2.alias("k2"))
     lines = F.split(F.col(text), "\n", -1)
-    keyed = df.withColumns({"_k1": k1, "_k2": k2})
-    removed = removed_lines(df.select(k1.alias("_k1"), k2.alias("_k2"), order.alias("_order"), lines.alias("_lines")))
-    joined = keyed.join(removed, ["_k1", "_k2"], "left")
-    gone = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
+    a, b, off = unused(df, "_k1", "_k2", "_removed")
+    keyed = df.withColumns({a: k1, b: k2})
+    removed = removed_lines(df.select(k1.alias("k1"), k2.alias("k2"), order.alias("order"), lines.alias("lines")))
+    joined = keyed.join(removed.toDF(a, b, off), [a, b], "left")
+    gone = F.coalesce(F.col(off), F.array().cast("array<int>"))
     n = F.coalesce(F.size(lines), F.lit(0))
     left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)))
     starts = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) < x - 1))
@@ -67,7 +66,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
             "n_spans": F.size(starts).cast("long"),
             text: F.when(F.size(gone) == 0, F.col(text)).otherwise(F.array_join(left, "\n")),
         }
-    ).drop("_k1", "_k2", "_removed")
+    ).drop(a, b, off)
 
 
 #: The same by DuckDB, which compares the lines themselves.

@@ -19,7 +19,9 @@ threshold t misses all BANDS buckets with probability (1 - t^ROWS)^BANDS: below
 
 Null and empty texts, and texts of blanks, have an empty set and link with nothing; texts of fewer
 than five words have one shingle, the whole sequence; repeated rows are in one class; a null doc_id
-can be linked but is nobody's representative (alone, its component is null and it is kept).
+can be linked but is nobody's representative (alone, its component is null and it is kept). Very long
+texts are handled whole, one at a time; ties between hubs are broken by their keys, so reruns agree; an
+empty table gives an empty table. Only doc_id and text are read, so other columns may be called anything.
 """
 
 from __future__ import annotations
@@ -333,15 +335,19 @@ def links(df: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFra
 
 
 def near_dups(df: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
-    """For each row of df (doc_id, text): doc_id, n_shingles, component_id, kept, and t1, t2
-    (hashes of the text)."""
+    """For each row of df (doc_id, text): doc_id, n_shingles, component_id, kept, t1 and t2 (hashes of
+    the text), and representative: whether the row is the first of its component by doc_id (null
+    last), then t1, t2 (of repeated rows all are)."""
     sketch, linked = links(df.select("doc_id", "text"), numerator)
-    classes = sketch.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows"))
+    classes = sketch.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("_rows"))
     rooted = stash(classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("_rows").alias("all"), F.count(F.lit(1)).alias("_rows")).filter("all > 1").drop("all")
     least = stash(least, "components")
     named = stash(join_facts(rooted.withColumnRenamed("_rows", "copies"), least, ["root"]).select("fp", "component", F.col("copies").alias("_rows")), "named")
     discard(rooted, least)
     release(df.sparkSession)
-    out = join_facts(sketch.drop("bands"), named, ["fp"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t1", "t2")
+    out = join_facts(sketch.drop("bands"), named, ["fp"], "left")
+    own = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.t1") == F.col("t1")) & (F.col("component.t2") == F.col("t2"))
+    alone = F.col("component").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component.doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "t1", "t2", (alone | own).alias("representative"))

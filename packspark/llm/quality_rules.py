@@ -9,7 +9,9 @@ Fitting takes at most ``max_rows`` labelled rows, those with the smallest hash o
 driver, as numbers. Statistics cover whole texts. Null and empty texts have all statistics 0 and
 get the score that the rules give for that. Without labelled rows of both classes the score is the
 share of label 1 (0.5 without any). A document with several labels counts as 1 if their mean is at
-least a half; null labels are ignored.
+least a half; null labels are ignored; of labelled documents with the same id the least text counts.
+Equal texts get equal scores, and so do repeated rows; an empty table gives an empty table. Columns
+other than doc_id, text and the score pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packspark.llm.common import unused
 from packspark.llm.toxicity import labelled
 
 MAX_ROWS = 20_000
@@ -193,7 +196,7 @@ def score_column(model: Model, stats: dict[str, Column]) -> Column:
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the probability that a text is good; a column called _stats must not exist."""
-    stats = statistics(F.col(text))
-    held = df.withColumn("_stats", F.struct(*[v.alias(k) for k, v in stats.items()]))
-    return held.withColumn(out, score_column(model, {k: F.col(f"_stats.{k}") for k in NAMES})).drop("_stats")
+    """Add the probability that a text is good (a column of that name is replaced)."""
+    (held,) = unused(df, "_stats")
+    stats = df.withColumn(held, F.struct(*[v.alias(k) for k, v in statistics(F.col(text)).items()]))
+    return stats.withColumn(out, score_column(model, {k: F.col(f"{held}.{k}") for k in NAMES})).drop(held)

@@ -25,7 +25,10 @@ classes; the sort of step 3 compares bytes.
 
 Null text counts as empty. If a doc_id is null or stands in several rows, documents are first
 numbered by (doc_id, null last, then hashes of the text); rows with equal doc_id and text are one
-document, so they share one result and are no copies of each other.
+document, so they share one result and are no copies of each other. Texts of any length are cut into
+blocks whole; texts shorter than DEPTH bytes lose nothing; equal places can't tie, as documents are
+numbered; an empty table gives an empty table. Only doc_id and text are read, so other columns may be
+called anything.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ counts and the design matrix are made on the executors. Scoring covers every who
 
 Null and empty texts have no features and get the score of the intercept. Without labelled rows of
 both classes every score is the share of label 1 (0.5 without any). A document with several labels
-counts as 1 if their mean is at least a half; labels that are null are ignored.
+counts as 1 if their mean is at least a half; labels that are null are ignored; of labelled documents
+with the same id the least text counts. Equal texts get equal scores, and so do repeated rows; very long
+texts are read whole, one at a time; an empty table gives an empty table. Columns other than text and
+the score pass through, whatever they are called.
 """
 
 from __future__ import annotations
