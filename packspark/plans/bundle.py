@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packspark.functions import signals
@@ -194,7 +194,9 @@ def expand(state: Bundles, requests: DataFrame, index: Index, settings: Settings
     hop = I.hops(old.select("query_id", "path").distinct(), index.edges, 1).join(files.select("path", "lines"), "path")
     second = candidates(_head(hop, B.HEAD_LINES), TIERS["import"], "import", "content", proximity=0.4)
     key = ["query_id", "path", "start_line", "end_line"]
-    new = R.with_features(full.unionByName(second), files, None).dropDuplicates(key)
+    # A focus file that is a second-hop neighbour too stays a focus file.
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("tier_rank", "content"))
+    new = R.with_features(full.unionByName(second), files, None).withColumn("_nth", first).filter("_nth = 1").drop("_nth")
     everything = hold(old.unionByName(new.join(old.select(*key), key, "left_anti")), "candidates")
 
     extra = F.coalesce(F.nullif("extra_tokens", F.lit(0)), F.floor(F.col("budget_limit") * 0.5).cast("int"))

@@ -19,14 +19,14 @@ from packspark.operators import rank as R
 from packspark.operators import symbols as S
 from packspark.operators import vectors as V
 from packspark.plans import bundle as Bu
-from packspark.plans import demo, oracles, render
+from packspark.plans import bundle_sql, demo, oracles, render
 from packspark.session import scratch, table
 from packspark.settings import Settings
 from packspark.sources import workspace as W
 from packspark.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = oracles.SQL
+ORACLES: dict[str, str] = oracles.SQL | bundle_sql.SQL
 DEFAULTS = Settings()
 
 
@@ -73,8 +73,10 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch and all conversation turns mention."""
     s = F.col("signals")
-    found = signals.analyze(demo.batch(spark))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    found = signals.analyze(turns.unionByName(demo.batch(spark).withColumn("query_id", -F.col("query_id"))))
     return found.select("query_id", F.array_join(s["mentioned_files"], " ").alias("files"), F.array_join(s["mentioned_symbols"], " ").alias("symbols"), s["has_stack_trace"].alias("stack_trace"), s["has_error_token"].alias("error_token"), s["query_tokens"].cast("long").alias("tokens"))
 
 
@@ -237,8 +239,10 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def budget_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest that learns a made-up budget from the features of all turns, and its predictions."""
-    rows = event_features(spark, sf_dir).cache()
-    model = M.BudgetModel.train(rows.withColumn("budget", (F.col("query_tokens") * 60 + F.col("intent_budget") / 4).cast("int")), trees=10, depth=5)
+    path = scratch(spark, "features")
+    event_features(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
+    model = M.BudgetModel.train(rows.withColumn("budget", (F.col("query_tokens") * 60 + F.col("intent_budget") / 4).cast("int")))
     return model.predict(rows, legacy_floors=True)
 
 
@@ -326,7 +330,8 @@ def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a batch leaves, without their time."""
     state, _ = _state(spark, sf_dir)
-    return E.analysis_events(state.analysis).unionByName(E.bundle_events(state)).drop("timestamp")
+    events = E.analysis_events(state.analysis).unionByName(E.bundle_events(state))
+    return events.drop("timestamp").select("*", "features.*").drop("features")
 
 
 # -- streams ------------------------------------------------------------------------------------

@@ -26,6 +26,11 @@ def _tokens(text: str) -> str:
     return f"CASE WHEN length({text}) = 0 THEN 0 ELSE greatest(1, length({text}) // 4) END"
 
 
+def _ordered(words: str) -> str:
+    """A list without repeats, in order."""
+    return f"list_transform(list_filter(list_zip({words}, range(1, len({words}) + 1)), lambda z: list_position({words}, z[1]) = z[2]), lambda z: z[1])"
+
+
 def _intent(source: str) -> str:
     """CTEs that give query_id, intent, confidence for rows (query_id, query)."""
     score = lambda k: " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in signals.INTENT_WORDS[k])
@@ -123,10 +128,13 @@ SELECT doc_id, CASE WHEN length(e) <= 220 THEN e ELSE regexp_replace(substr(e, 1
     "keyword_extract": f"WITH {_keywords(_TURNS)} SELECT query_id // 1000 AS conv_id, query_id % 1000 AS turn, ord, kw FROM kws",
     "path_word_lists": rf"SELECT page_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(ws), lambda x: lpad(CAST(list_position(ws, x) AS VARCHAR), 6, '0') || x)), lambda x: substr(x, 7)), ' ') AS words FROM (SELECT page_id, regexp_extract_all(lower(regexp_replace(url, '([^/])\.[^./]+$', '\1')), '{T.PATH_WORD}') AS ws FROM pages)",
     "intent_classify": f"WITH {_intent(f'{_TURNS} UNION ALL SELECT -query_id, query FROM {_BATCH}')} SELECT query_id, intent, confidence, {_budget(0)} AS recommended, {_budget(1)} AS least, {_budget(2)} AS most FROM i",
-    "query_signals": f"""
-SELECT query_id, CASE query_id WHEN 1 THEN 'src3/doc12.md ./doc7.md' WHEN 4 THEN 'src1/doc40.md' WHEN 8 THEN 'geo/n3.py web/p5.ts web/s2.ts' ELSE '' END AS files,
-  CASE query_id WHEN 2 THEN 'worthless trashTalk' WHEN 3 THEN 'scum_loser' WHEN 5 THEN 'disgustingStupid' WHEN 8 THEN 'Nation7 load_n3' ELSE '' END AS symbols,
-  query_id IN (1, 4, 8) AS stack_trace, query_id IN (1, 8) AS error_token, {_tokens("query")} AS tokens FROM {_BATCH}""",
+    "query_signals": rf"""
+WITH {_intent(f'{_TURNS} UNION ALL SELECT -query_id, query FROM {_BATCH}')},
+m AS (SELECT *, {_ordered("list_transform(regexp_extract_all(query, '(?i)" + signals.FILE + "'), lambda x: replace(x, chr(92), '/'))")} AS files,
+  list_concat(list_filter(list_transform(regexp_extract_all(query, '{signals.BACKTICK}', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, ' ') AND NOT regexp_full_match(x, '(?i){signals.FILE}')),
+    regexp_extract_all(query, '{signals.CAMEL}'), list_filter(regexp_extract_all(query, '{signals.SNAKE}'), lambda x: length(x) >= 3)) AS names FROM i)
+SELECT query_id, array_to_string(files, ' ') AS files, array_to_string({_ordered("list_filter(names, lambda x: NOT list_contains(files, x))")}, ' ') AS symbols,
+  trace AS stack_trace, regexp_matches(low, '{signals.ERROR_WORD}') AS error_token, {_tokens("query")} AS tokens FROM m""",
     "grep_hits": f"WITH {_HITS} SELECT query_id, path, line_no FROM hits",
     "grep_islands": f"WITH {_ISLANDS} SELECT query_id, path, start_line, end_line FROM rng",
     "grep_chunks": f"WITH {_CHUNKS} SELECT query_id, path, start_line, end_line, content, keyword_match FROM chk",
