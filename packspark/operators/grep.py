@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packspark.functions import text as T
@@ -12,6 +14,8 @@ from packspark.sources.workspace import Corpus
 
 #: Distinct keywords that go to every task at once; more of them are matched in several passes.
 KEYWORD_BLOCK = 2_000
+#: Ranges (of some 100 bytes, no text) that are sent to every task; more of them are shuffled.
+BROADCAST_RANGES = 50_000
 
 
 def query_keywords(queries: DataFrame, extra: str | None = None) -> DataFrame:
@@ -39,6 +43,47 @@ def line_hits(lines: DataFrame, keywords: DataFrame, case_sensitive: bool = Fals
     return found.join(wanted, "m").select("query_id", "path", "line_no", "total").distinct()
 
 
+def _present(words: Column) -> Callable[[Column], Column]:
+    return lambda text: F.filter(words, lambda w: F.contains(text, w))
+
+
+def file_hits(files: DataFrame, keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """(query_id, path, total, m, nums): the lines in which a file has a keyword of a query, for the
+    keywords it has.
+
+    Lines never become rows: each file is first tested as a whole for each distinct keyword, its lines
+    only for the keywords that it has, and what leaves the scan are numbers.
+    """
+    match = F.col("kw") if case_sensitive else F.lower("kw")
+    wanted = keywords.select("query_id", match.alias("m")).distinct()
+    words = sorted(r["m"] for r in wanted.select("m").distinct().collect())
+    text, lines = (F.col("content"), F.col("lines")) if case_sensitive else (F.lower("content"), F.transform("lines", F.lower))
+    found = None
+    for k in range(0, max(1, len(words)), KEYWORD_BLOCK):
+        block = F.array(*[F.lit(w) for w in words[k : k + KEYWORD_BLOCK]]).cast("array<string>")
+        here = T.let(text, _present(block))
+        numbers = lambda ls, w: F.filter(F.transform(ls, lambda x, i: F.when(F.contains(x, w), i + 1)), lambda n: n.isNotNull())
+        hits = T.let(lines, lambda ls: F.transform("_here", lambda w: F.struct(w.alias("m"), numbers(ls, w).alias("nums"))))
+        some = files.withColumn("_here", here).filter(F.size("_here") > 0)
+        each = some.select("path", F.size("lines").alias("total"), F.explode(hits).alias("_h")).select("path", "total", "_h.m", "_h.nums")
+        found = each if found is None else found.unionByName(each)
+    return found.join(wanted, "m").select("query_id", "path", "total", "m", "nums")
+
+
+def hit_ranges(hits: DataFrame, context: int) -> DataFrame:
+    """(query_id, path, start_line, end_line, keyword_match) of file_hits(): merged ranges with context
+    lines around them, and how many of the query's keywords each has."""
+    gap = 2 * context + 1
+    per = hits.groupBy("query_id", "path").agg(F.max("total").alias("total"), F.collect_list(F.struct("m", "nums")).alias("_hits"))
+    starts = lambda at: F.filter(at, lambda x, i: (i == 0) | (x - F.get(at, i - 1) > gap))
+    ends = lambda at: F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - x > gap))
+    lines = F.array_sort(F.array_distinct(F.flatten("_hits.nums")))
+    ranges = T.let(lines, lambda at: F.arrays_zip(starts(at).alias("a"), ends(at).alias("b")))
+    one = per.select("query_id", "path", "total", "_hits", F.explode(ranges).alias("_r")).select("query_id", "path", "total", "_hits", F.col("_r").getField("a").alias("a"), F.col("_r").getField("b").alias("b"))
+    inside = F.size(F.filter("_hits", lambda h: F.exists(h["nums"], lambda n: (n >= F.col("a")) & (n <= F.col("b")))))
+    return one.select("query_id", "path", F.greatest(F.lit(1), F.col("a") - context).alias("start_line"), F.least(F.col("total"), F.col("b") + context).alias("end_line"), inside.cast("double").alias("keyword_match"))
+
+
 def islands(hits: DataFrame, context: int) -> DataFrame:
     """Merged ranges (query_id, path, start_line, end_line) of hits with context lines around them.
 
@@ -69,9 +114,14 @@ def top(found: DataFrame, limit: int) -> DataFrame:
 
 
 def grep(queries: DataFrame, corpus: Corpus, settings: Settings | None = None, limit: int | None = None) -> DataFrame:
-    """Keyword search of every query over the corpus."""
+    """Keyword search of every query over the corpus: ranges are found and the best chosen as numbers,
+    then the text of the chosen is fetched."""
     settings = settings or Settings()
+    limit = settings.max_grep_candidates if limit is None else limit
     words = query_keywords(queries)
-    hits = line_hits(corpus.lines, words, settings.case_sensitive)
-    found = chunks(islands(hits, settings.grep_context_lines), corpus.files, words, settings.case_sensitive)
-    return top(found, settings.max_grep_candidates if limit is None else limit)
+    best = top(hit_ranges(file_hits(corpus.files, words, settings.case_sensitive), settings.grep_context_lines), limit)
+    # At most ``limit`` rows a query: sent to the files if the batch is small, else joined by path.
+    small = limit * words.select("query_id").distinct().count() <= BROADCAST_RANGES
+    at = corpus.files.select("path", "lines").join(F.broadcast(best) if small else best, "path")
+    text = at.withColumn("content", T.snippet(F.col("lines"), F.col("start_line"), F.col("end_line")))
+    return candidates(text, TIERS["grep"], "grep", "content", keyword=F.col("keyword_match"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from packspark.functions import text as T
 from packspark.operators.candidates import TIERS, candidates
@@ -38,23 +45,64 @@ def cosine(a: Column, b: Column) -> Column:
 
 def top_similar(query_vectors: DataFrame, vectors: DataFrame, key: list[str], limit: int) -> DataFrame:
     """The ``limit`` rows of vectors (key columns, vector) next to each query vector (query_id,
-    vector): query_id, key columns, similarity; ties by key.
+    vector): query_id, key columns, similarity; ties (to 12 places) by key. Rows without a vector are
+    next to nothing.
 
-    Query vectors are a batch of bounded size and meet the rows block by block; each task keeps the
-    best of its rows before anything is shuffled.
+    Query vectors are a stated batch and meet the rows in blocks: each task multiplies its batches of
+    rows, normalised once, with a block's matrix and keeps the best of each batch before anything is
+    shuffled.
     """
+    spark = vectors.sparkSession
+    rows = vectors.select(*key, "vector").filter("vector IS NOT NULL")
+    schema = _similar_schema(query_vectors, rows, key)
+    found = spark.createDataFrame([], schema)
     if limit <= 0:
-        return vectors.select(F.lit(None).cast("long").alias("query_id"), *key, F.lit(0.0).alias("similarity")).limit(0)
-    rows = [(r["query_id"], r["vector"]) for r in query_vectors.select("query_id", "vector").toLocalIterator()]
-    found = None
-    for k in range(0, max(1, len(rows)), VECTOR_BLOCK):
-        block = vectors.sparkSession.createDataFrame(rows[k : k + VECTOR_BLOCK], query_vectors.select("query_id", "vector").schema).withColumnRenamed("vector", "_q")
-        near = vectors.join(F.broadcast(block)).select("query_id", *key, cosine(F.col("_q"), F.col("vector")).alias("similarity"))
-        found = near if found is None else found.unionByName(near)
+        return found
+    source = query_vectors.select("query_id", "vector").filter("vector IS NOT NULL").toLocalIterator()
+    while block := list(itertools.islice(source, VECTOR_BLOCK)):
+        found = found.unionByName(rows.mapInArrow(_best_of_batches(block, key, limit, schema), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *key)
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
 
+def _similar_schema(query_vectors: DataFrame, rows: DataFrame, key: list[str]) -> StructType:
+    return StructType([query_vectors.schema["query_id"], *[rows.schema[k] for k in key], StructField("similarity", DoubleType())])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best_of_batches(block: list[tuple], key: list[str], limit: int, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = len(block[0][1])
+    if any(len(r[1]) != width for r in block):
+        raise ValueError("vectors of unequal size")
+    ids, asked = [r[0] for r in block], _unit(np.array([r[1] for r in block], float))
+    kind = schema["query_id"].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        for batch in batches:
+            column = batch.column(len(key))
+            flat, ends = np.asarray(column.flatten(), float), np.asarray(column.offsets)
+            if len(batch) and (np.diff(ends) != width).any():
+                raise ValueError("vectors of unequal size")
+            near = np.round(_unit(flat.reshape(len(batch), width)) @ asked.T, 12)
+            if len(batch) > limit:
+                place = np.empty(len(batch), np.int64)  # by key, which decides ties
+                place[np.asarray(pc.sort_indices(batch, sort_keys=[(batch.schema.names[i], "ascending") for i in range(len(key))]))] = np.arange(len(batch))
+                least = np.partition(near, len(batch) - limit, axis=0)[len(batch) - limit]
+                rows = [np.flatnonzero(near[:, k] >= least[k]) for k in range(len(ids))]
+                rows = [r if len(r) <= limit else r[np.lexsort((place[r], -near[r, k]))[:limit]] for k, r in enumerate(rows)]
+                row, q = np.concatenate(rows), np.repeat(np.arange(len(ids)), [len(r) for r in rows])
+            else:
+                row, q = np.nonzero(near > -np.inf)
+            query = pa.array([ids[k] for k in q.tolist()], types.get(kind))
+            yield pa.RecordBatch.from_arrays([query, *[batch.column(i).take(pa.array(row)) for i in range(len(key))], pa.array(near[row, q])], names=["query_id", *key, "similarity"])
+
+    return best
+
+
 def vector_search(query_vectors: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
     """Candidates of tier embedding among windows (path, start_line, end_line, content, vector)."""
     near = top_similar(query_vectors, windows, ["path", "start_line", "end_line", "content"], limit)

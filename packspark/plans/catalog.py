@@ -85,7 +85,8 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, W.Corpus]:
     corpus, words = demo.documents_corpus(spark, sf_dir), G.query_keywords(demo.batch(spark))
-    return G.line_hits(corpus.lines, words), words, corpus
+    hits = G.file_hits(corpus.files, words)
+    return hits.select("query_id", "path", "total", F.explode("nums").alias("line_no")).distinct(), words, corpus
 
 
 @query
