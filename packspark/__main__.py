@@ -1,20 +1,16 @@
 """python -m packspark index [ROOT]: build and store the manifest. python -m packspark serve: answer
-requests, one JSON object {"tool": NAME, "args": {...}} a line, on standard input."""
+requests on standard input, a line each (see packspark.server)."""
 
 from __future__ import annotations
 
-import json
 import sys
 
 from pyspark.sql import SparkSession
 
-from packspark import settings
+from packspark import server, settings
 from packspark.api import Engines
 from packspark.sources import workspace as W
 
-TOOLS = ("prepare_context", "context_prompt", "analyze_query", "get_context_bundle", "expand_context", "estimate_tokens")
-
-
 def index(spark: SparkSession, root: str | None) -> int:
     """Rebuild and store a workspace's manifest; returns the number of files."""
     conf = settings.load(root)
@@ -22,13 +18,8 @@ def index(spark: SparkSession, root: str | None) -> int:
 
 
 def answer(engines: Engines, request: dict) -> object:
-    """The result of one request, or {"error": …}."""
-    tool, args = request.get("tool"), dict(request.get("args") or {})
-    if tool not in TOOLS:
-        return {"error": f"unknown tool {tool}"}
-    if tool in ("expand_context", "estimate_tokens"):
-        return getattr(engines, tool)(**args)
-    return getattr(engines.get(args.pop("workspace_root", None)), tool)(**args)
+    """The result of one request {"tool": …, "args": …}, or {"error": …}."""
+    return server.short(engines, request)
 
 
 def main(argv: list[str]) -> int:
@@ -40,9 +31,8 @@ def main(argv: list[str]) -> int:
         print(f"{index(spark, argv[1] if len(argv) > 1 else None)} files")
         return 0
     engines = Engines(spark)
-    for line in sys.stdin:
-        if line.strip():
-            print(json.dumps(answer(engines, json.loads(line)), default=str), flush=True)
+    for line in server.serve(engines, sys.stdin):
+        print(line, flush=True)
     return 0
 
 

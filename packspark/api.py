@@ -22,7 +22,6 @@ from packspark.settings import Settings, load, resolve_workspace
 from packspark.sources import workspace as W
 from packspark.streaming import events as E
 
-TOKEN_METHOD = "chars/4"
 EXPLORATION_TASK = "Explore this codebase: what are the main modules and how do they fit together?"
 UNKNOWN = {"error": "unknown bundle id"}
 
@@ -89,13 +88,13 @@ class Engine:
     def estimate_tokens(self, text: str | None = None, bundle_id: str | None = None) -> dict:
         """Tokens of a text or of a bundle's chunks."""
         if text is not None:
-            return {"tokens": self.spark.range(1).select(T.tokens(F.lit(text))).first()[0], "method": TOKEN_METHOD}
+            return {"tokens": self.spark.range(1).select(T.tokens(F.lit(text))).first()[0], "method": T.token_method()}
         if bundle_id in self.held:
-            return {"tokens": self._bundle(bundle_id)["budget_used"], "method": TOKEN_METHOD}
+            return {"tokens": self._bundle(bundle_id)["budget_used"], "method": T.token_method()}
         return dict(UNKNOWN)
 
     def estimate_bundle_tokens(self, bundle_id: str) -> dict:
-        return {"tokens": self._bundle(bundle_id)["budget_used"] if bundle_id in self.held else 0, "method": TOKEN_METHOD}
+        return {"tokens": self._bundle(bundle_id)["budget_used"] if bundle_id in self.held else 0, "method": T.token_method()}
 
     def analysis_for_bundle(self, bundle_id: str) -> dict | None:
         held = self.held.get(bundle_id)

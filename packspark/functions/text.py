@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ STOPWORDS = (
     "when", "where", "should", "would", "could", "please", "can", "after",
     "before", "into", "out", "up", "down", "not", "no", "yes",
 )
+#: What keywords, the words of a path and the humps of camel case look like.
 KEYWORD = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 PATH_WORD = r"[A-Za-z_][A-Za-z0-9_]{1,}"
 HUMP = r"(?<=[a-z0-9])(?=[A-Z])"
@@ -45,12 +46,48 @@ def newline_count(text: Column | str) -> Column:
     return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1)
 
 
-def tokens(text: Column | str) -> Column:
-    """Estimated tokens: a quarter of the characters, 1 at least, 0 for an empty text."""
-    n = F.length(col(text))
+def quarter(text: Column) -> Column:
+    """A quarter of the characters, 1 at least, 0 for an empty text."""
+    n = F.length(text)
     return F.when(n == 0, 0).when(n > 0, F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
+class _Counter:
+    """What counts tokens, and what it is called."""
+
+    count: Callable[[Column], Column] = staticmethod(quarter)
+    method = "chars/4"
+
+
+def tokens(text: Column | str) -> Column:
+    """Tokens of a text, by the counter in use."""
+    return _Counter.count(col(text)).cast("int")
+
+
+def token_method() -> str:
+    return _Counter.method
+
+
+def use_counter(count: Callable[[Column], Column] | None = None, method: str = "custom") -> None:
+    """Count tokens by an expression of the text from now on, in budgets, packing and estimates alike;
+    without one, by a quarter of the characters."""
+    _Counter.count, _Counter.method = (staticmethod(quarter), "chars/4") if count is None else (staticmethod(count), method)
+
+
+def encoder_counter(load: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A counter from an encoder: ``load`` makes it on each worker, once a task (a tokenizer's file is
+    the caller's), and it tells how many tokens a text has."""
+    import pandas as pd
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        size = load()
+        for texts in batches:
+            yield pd.Series([None if t is None else size(t) for t in texts], dtype="Int32")
+
+    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return lambda text: F.pandas_udf(count, "int")(text)
+
+
 def snippet(lines: Column, start: Column, end: Column) -> Column:
     """Lines start to end (from 1, inclusive) as a text."""
     return F.array_join(F.slice(lines, start, F.greatest(F.lit(0), end - start + 1)), "\n")

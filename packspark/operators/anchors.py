@@ -9,14 +9,19 @@ from packspark.functions import text as T
 from packspark.settings import Settings
 
 
+#: Characters of the longest file name that a mention of one part can end.
+LONGEST_NAME = 4_096
+
+
 def resolve_mentions(mentions: DataFrame, files: DataFrame, empty_matches_all: bool = True) -> DataFrame:
     """(query_id, path) of files that a mention (query_id, mention) names: the path ends with it, or
     the names are equal.
 
     Leading dots and slashes of a mention are dropped, all of them; a mention of only those is
-    empty then and names every file, unless empty_matches_all is off. Both rules start from equal
-    file names or a mention without a folder, so only mentions whose last part could be cut off a
-    longer name go through the non-equi join, with the few mentions on its small side.
+    empty then and names every file, unless empty_matches_all is off. A path that ends with a mention
+    of several parts has the mention's file name; one that ends with a mention of a single part has a
+    name that does. So both rules are equi-joins: by name, and by the end of the name, at the lengths
+    that mentions have.
     """
     m = mentions.select("query_id", F.regexp_replace(F.replace("mention", F.lit("\\"), F.lit("/")), r"^[./]+", "").alias("m")).distinct()
     if not empty_matches_all:
@@ -24,8 +29,13 @@ def resolve_mentions(mentions: DataFrame, files: DataFrame, empty_matches_all: b
     m = m.withColumn("m_name", F.element_at(F.split("m", "/"), -1))
     f = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
     by_name = f.join(m, F.col("name") == F.col("m_name")).select("query_id", "path")
-    by_suffix = f.join(m, F.endswith(F.col("path"), F.col("m"))).select("query_id", "path")
-    return by_name.unionByName(by_suffix).distinct()
+    parts = m.filter(~F.contains("m", F.lit("/")))
+    sizes = sorted(r["n"] for r in parts.select(F.length("m").alias("n")).distinct().filter(F.col("n") <= LONGEST_NAME).collect())
+    if not sizes:
+        return by_name.distinct()
+    ends = f.select("path", "name", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).filter(F.length("name") >= F.col("n"))
+    by_end = ends.withColumn("m", F.expr("substring(name, length(name) - n + 1, n)")).join(parts, "m").select("query_id", "path")
+    return by_name.unionByName(by_end).distinct()
 
 
 def rank_anchors(queries: DataFrame, found: DataFrame, limit: int, min_score: float) -> DataFrame:

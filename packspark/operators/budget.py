@@ -45,7 +45,8 @@ def must_tokens(anchors: DataFrame, analysis: DataFrame, files: DataFrame, symbo
     sliced = at.join(spans, ["query_id", "path"], "left")
     size = T.tokens(T.snippet(F.col("lines"), F.col("start_line"), F.col("end_line")))
     head = T.tokens(F.array_join(F.slice("lines", 1, HEAD_LINES), "\n"))
-    per = sliced.groupBy("query_id", "path").agg(F.max(size).alias("slice"), F.max(head).alias("head"))
+    sized = sliced.select("query_id", "path", size.alias("slice"), head.alias("head"))
+    per = sized.groupBy("query_id", "path").agg(F.max("slice").alias("slice"), F.max("head").alias("head"))
     return per.groupBy("query_id").agg(F.sum(F.coalesce(F.nullif("slice", F.lit(0)), "head")).cast("int").alias("must_tokens"))
 
 

@@ -53,7 +53,6 @@ class BudgetModel:
     """A forest whose class i is the bucket BUCKETS[i]."""
 
     forest: RandomForestClassificationModel
-    confidence_threshold: float = 0.55  # kept for parity; nothing reads it
 
     @classmethod
     def train(cls, rows: DataFrame, label: str = "budget", trees: int = 40, depth: int = 8, seed: int = 1) -> BudgetModel:

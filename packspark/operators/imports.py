@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from packspark.operators.symbols import PYTHON
 
+#: Suffixes of scripts, in the order in which a bare import is completed.
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Fixed value: what imports a module in scripts.
 SCRIPT_IMPORT = re.compile(r"""(?:import\s[^'"]*from\s*|import\s*|require\s*\(\s*)['"]([^'"]+)['"]""")

@@ -37,9 +37,9 @@ def pack(kept: DataFrame, limits: DataFrame, factor: float = 1.5) -> DataFrame:
     """
     item = F.struct(
         (~F.col("is_must")).cast("int").alias("late"), (-F.col("score")).alias("minus"), *[F.col(c) for c in _ORDER],
-        F.col("score"), F.col("reason"), T.tokens("content").alias("tokens"),
+        F.col("score"), F.col("reason"), F.col("_tokens").alias("tokens"),
     )
-    items = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    items = kept.withColumn("_tokens", T.tokens("content")).groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     chunk = lambda x: F.struct(*[x[c.split()[0]].cast(c.split()[1]).alias(c.split()[0]) for c in CHUNK.split(", ")])
     empty = F.array().cast(f"array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>")
     start = F.struct(F.lit(0).alias("used"), empty.alias("chosen"))

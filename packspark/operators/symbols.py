@@ -36,23 +36,34 @@ def python_spans(source: str) -> list[Span]:
 def brace_spans(lines: list[str]) -> list[Span]:
     """Declarations up to the line where their braces balance, or to the end of the file: the first
     line from the first brace on at whose end the depth is no greater than before the declaration."""
-    net = [x.count("{") - x.count("}") for x in lines]
-    opens = ["{" in x for x in lines]
-    open_from: list[int] = [len(lines)] * (len(lines) + 1)  # the first line from here on with a brace
-    for i in range(len(lines) - 1, -1, -1):
-        open_from[i] = i if opens[i] else open_from[i + 1]
     before = [0]
-    for d in net:
-        before.append(before[-1] + d)
+    for x in lines:
+        before.append(before[-1] + x.count("{") - x.count("}"))
+    found = [(i, m) for i, x in enumerate(lines) if (m := DECLARATION.search(x))]
+    # From the last line up, the places at which the depth is lower than anywhere before them, the
+    # nearest last: where a declaration ends is found among them by bisection.
     out: list[Span] = []
-    for i, line in enumerate(lines):
-        m = DECLARATION.search(line)
-        if not m:
-            continue
-        j = open_from[i]
-        while j < len(lines) and before[j + 1] > before[i]:
-            j += 1
-        out.append((m[1] or m[2] or m[3], i + 1, min(j + 1, len(lines))))
+    lower: list[int] = []
+    opening, nearest = [0] * len(lines), len(lines)  # the first line from here on with a brace
+    for i in range(len(lines) - 1, -1, -1):
+        nearest = i if "{" in lines[i] else nearest
+        opening[i] = nearest
+    held: dict[int, list[int]] = {}
+    for i, _ in found:
+        held.setdefault(opening[i], []).append(i)
+    ends: dict[int, int] = {}
+    for s in range(len(lines) - 1, -1, -1):
+        while lower and before[lower[-1]] >= before[s + 1]:
+            lower.pop()
+        lower.append(s + 1)
+        for i in held.get(s, ()):
+            low, high = 0, len(lower)  # depths rise towards the end of the list
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (mid + 1, high) if before[lower[mid]] <= before[i] else (low, mid)
+            ends[i] = lower[low - 1] if low else len(lines)
+    for i, m in found:
+        out.append((m[1] or m[2] or m[3], i + 1, min(ends.get(i, len(lines)), len(lines))))
     return out
 
 

@@ -27,7 +27,7 @@ INTENT_BUDGETS = {
 
 @dataclasses.dataclass(frozen=True)
 class Weights:
-    """What each feature counts in a chunk's score."""
+    """What each feature counts in a chunk's score (fixed values)."""
 
     keyword_match: float = 0.4
     path_mention: float = 0.3
@@ -37,6 +37,8 @@ class Weights:
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
+    """Defaults are fixed values. Settings files may have the keys of IGNORED_KEYS too: no query reads them."""
+
     workspace_root: str = "."
     ignore_globs: tuple[str, ...] = IGNORED
     default_max_tokens: int = 8000
@@ -45,20 +47,15 @@ class Settings:
     max_grep_candidates: int = 50
     enable_anchor_inference: bool = True
     max_inferred_anchor_files: int = 3
-    max_inferred_anchor_files_upper: int = 12
     inferred_anchor_min_score: float = 1.0
-    min_label_recall: float = 0.80
-    label_hard_ceiling_factor: float = 1.5
     legacy_query_length_floors: bool = False
     min_chunk_score: float = 0.15
     max_optional_chunks: int | None = None
     max_optional_chunks_upper: int = 4
     max_optional_chunks_floor: int = 1
     events_path: str | None = None
-    budget_source: str = "rf"
     ml_model_path: str | None = None
     enable_embedding_retriever: bool = False
-    embedding_model_name: str = "all-MiniLM-L6-v2"
     manifest_auto_build: bool = True
     weights: Weights = Weights()
     hard_ceiling_factor: float = 1.5
@@ -81,15 +78,17 @@ class Settings:
         return self.ml_model_path or f"{self.workspace_root}/ml/models/budget_rf_v2"
 
 
+IGNORED_KEYS = ("max_inferred_anchor_files_upper", "min_label_recall", "label_hard_ceiling_factor", "budget_source", "embedding_model_name")
+
 _Cast = Callable[[object], object]
 #: Which keys a TOML file may set, and how their values are taken; bool("false") is True, as in Python.
 OVERRIDES: dict[str, _Cast] = {
     "ignore_globs": lambda v: tuple(str(x) for x in v),  # type: ignore[attr-defined]
     "intent_budgets": lambda v: INTENT_BUDGETS | {k: tuple(int(x) for x in b) for k, b in v.items()},  # type: ignore[attr-defined]
-    **{k: int for k in ("default_max_tokens", "grep_context_lines", "max_grep_candidates", "max_inferred_anchor_files", "max_inferred_anchor_files_upper", "max_optional_chunks", "max_optional_chunks_upper", "max_optional_chunks_floor")},
-    **{k: float for k in ("inferred_anchor_min_score", "min_label_recall", "label_hard_ceiling_factor", "min_chunk_score")},
+    **{k: int for k in ("default_max_tokens", "grep_context_lines", "max_grep_candidates", "max_inferred_anchor_files", "max_optional_chunks", "max_optional_chunks_upper", "max_optional_chunks_floor")},
+    **{k: float for k in ("inferred_anchor_min_score", "min_chunk_score")},
     **{k: bool for k in ("enable_anchor_inference", "legacy_query_length_floors", "enable_embedding_retriever", "manifest_auto_build")},
-    **{k: str for k in ("budget_source", "ml_model_path", "embedding_model_name")},
+    **{k: str for k in ("ml_model_path",)},
 }
 
 

@@ -22,6 +22,7 @@ SCANNED = (
     ".swift", ".scala", ".sql", ".json", ".toml", ".yaml", ".yml", ".md",
     ".txt", ".cfg", ".ini",
 )
+#: Fixed value: larger files aren't scanned.
 MAX_FILE_BYTES = 512 * 1024
 MANIFEST_VERSION = 1
 MANIFEST_DDL = "workspace_root string, version int, built_at string, entries array<struct<rel_path: string, mtime_ns: bigint, size: bigint, line_count: int>>"
@@ -129,8 +130,8 @@ def from_table(texts: DataFrame, path: Column, content: Column | str = "text", m
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """rel_path, mtime_ns, size, line_count of scanned files, sorted by path."""
-    return files.select(F.col("path").alias("rel_path"), "mtime_ns", "size", T.newline_count("content").cast("int").alias("line_count")).orderBy("rel_path")
+    """rel_path, mtime_ns, size, line_count of scanned files."""
+    return files.select(F.col("path").alias("rel_path"), "mtime_ns", "size", T.newline_count("content").cast("int").alias("line_count"))
 
 
 def save_manifest(entries: DataFrame, settings: Settings) -> str:

@@ -56,19 +56,33 @@ def bundle_events(state: Bundles) -> DataFrame:
     )
 
 
+def _of_files(error: object) -> bool:
+    """Whether a Java exception comes from a file system, or one that doesn't exist."""
+    while error is not None:
+        if error.getClass().getName().startswith(("java.io.", "java.nio.", "org.apache.hadoop.")):
+            return True
+        error = error.getCause()
+    return False
+
+
 def append(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines; a log that can't be written loses them without an error."""
+    """Append events as JSON lines; a log that can't be written loses them without an error, while
+    anything wrong with the events themselves is raised."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     try:
         events.write.mode("append").json(path)
-    except (PySparkException, Py4JJavaError, OSError):
+    except OSError:
         pass
+    except (PySparkException, Py4JJavaError) as e:
+        if not _of_files(e.java_exception if isinstance(e, Py4JJavaError) else getattr(e, "_origin", None)):
+            raise
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_DDL).json(path)
+    """The events below path, in batches' folders too."""
+    return spark.read.schema(EVENT_DDL).option("recursiveFileLookup", True).json(path)
 
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -102,6 +116,7 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
 
 
 def for_each_batch(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df):  # noqa: ANN201
-    """Append each micro-batch of a stream to a JSON log."""
-    sink = lambda df, _: append(transform(df), path)
+    """Write each micro-batch of a stream to a JSON log, in a folder of its own: a batch that is tried
+    again replaces what it has written. read_log() reads all of them."""
+    sink = lambda df, batch: transform(df).write.mode("overwrite").json(f"{path}/batch={batch}")
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
