@@ -1,10 +1,13 @@
 """External induced sorting: the suffix order of a byte string on disk, deep enough for a given depth.
 
 The string lies in a memory-mapped file. Suffixes are classed as larger or smaller than the next
-one; the leftmost-smaller (LMS) suffixes are sorted first, by recursion on the string of their
-names, and all others are induced from them in two sweeps over the alphabet. A sweep's work list is
-a monotone priority queue: tuples wait in the bucket of their first byte, in the order in which
-they came, and buckets that outgrow the memory budget go to disk. All steps are array operations.
+one. A first sweep sorts the leftmost-smaller (LMS) substrings and names them; the order of the LMS
+suffixes is that of the string of names, which is sorted by doubling (not by the same sort again, as
+its alphabet is too large for a queue a letter). A second sweep induces all others from them. A sweep's
+work list is a monotone priority queue: tuples wait in the bucket of their first byte, in the order in
+which they came, and buckets that outgrow the memory budget go to disk. The arrays of positions, types
+and names are in memory, some 40 bytes for each byte of the shard: shards are dealt so small that they
+fit. All steps are array operations.
 
 Common prefixes are cut at ``depth``: two suffixes that agree on that many bytes may come in either
 order, and ``groups`` reports where neighbours agree on them.

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packspark.llm import induced_sort
-from packspark.llm.common import discard, release, row_key, stash
+from packspark.llm.common import discard, join_facts, release, row_key, stash
 from packspark.llm.near_dedup import _BYTE, _U, _powers, mix64, steps
 
 DEPTH = 100
@@ -194,10 +194,10 @@ def hot_repeats(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     todo = blocks.groupBy("d").agg(F.collect_list("at").alias("todo"))
     strings = stash(docs.select("d", "raw").join(todo, "d").mapInArrow(_strings, "h1 long, h2 long, d long, lo long"), "strings")
     place = F.struct("d", "lo")
-    first = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
-    later = strings.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+    first = stash(strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"), "firsts")
+    later = join_facts(strings, first, ["h1", "h2"]).filter(place > F.col("first"))
     out = stash(later.select("d", "lo", (F.col("lo") + DEPTH).alias("hi")), "repeats")
-    discard(strings)
+    discard(strings, first)
     return out
 
 
@@ -206,16 +206,16 @@ def removed_ranges(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame
     spark = docs.sparkSession
     cut = docs.select("d", "raw").mapInArrow(_blocks, BLOCK_DDL)
     seen = cut.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.count(F.lit(1)).alias("n"))
-    often = stash(seen.filter("n > 1").select("a", (F.col("b0") != F.col("b1")).alias("multi")), "anchors")
+    often = stash(seen.filter("n > 1").select("a", (F.col("b0") != F.col("b1")).alias("multi"), F.col("n").alias("_rows")), "anchors")
     del seen
     release(spark)
-    kept = stash(cut.join(often, "a"), "blocks")
+    kept = stash(join_facts(cut, often, ["a"]), "blocks")
     discard(often)
     release(spark)
 
     place = F.struct("d", "at")
-    classes = stash(kept.groupBy("a", "b").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.first("multi").alias("multi")), "classes")
-    again = kept.join(classes.filter("p0 <> p1").select("a", "b", "p0"), ["a", "b"]).filter(place != F.col("p0"))
+    classes = stash(kept.groupBy("a", "b").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.first("multi").alias("multi"), F.count(F.lit(1)).alias("_rows")), "classes")
+    again = join_facts(kept, classes.filter("p0 <> p1").select("a", "b", "p0", "_rows"), ["a", "b"]).filter(place != F.col("p0"))
     lo = F.shiftright("at", 14)
     whole = stash(again.select("d", lo.alias("lo"), (lo + F.shiftright("at", 7).bitwiseAND(F.lit(127)) + DEPTH).alias("hi")), "whole")
     del again
@@ -228,7 +228,8 @@ def removed_ranges(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame
     rest = several.join(hot, "a", "left_anti") if any_hot else several
     todo = rest.groupBy("d").agg(F.collect_list(F.struct("a", "at")).alias("todo"))
     segments = docs.select("d", "raw").join(todo, "d").mapInArrow(_segments, "shard long, d long, lo long, seg binary")
-    # One sort a partition, of SHARD_BYTES or so: a longer anchor has at most hot_classes blocks, each once.
+    # One sort a partition, of SHARD_BYTES or so: an anchor that isn't hot has at most hot_classes
+    # classes, and each sends one block (in two parts) of less than 3 * DEPTH bytes.
     size = rest.agg(F.sum(F.shiftright("at", 7).bitwiseAND(F.lit(127)) + 1 + 2 * DEPTH)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
     repeats = stash(segments.repartition(parts, "shard").mapInArrow(_sorted_repeats, "d long, lo long, hi long"), "repeats")
