@@ -150,4 +150,13 @@ SQL: dict[str, str] = {
     "expand_e2e": f"{_EXPANDED} {_chunks('wider')}",
     "render_context": _MESSAGE,
     "bundle_log": _EVENTS,
+    "engine_requests": f"""{_EXPANDED}
+SELECT 'analyze' AS request, CAST(query_id AS BIGINT) AS query_id, intent AS answer FROM i WHERE query_id <= 4
+UNION ALL SELECT 'tokens', query_id, CAST({_tokens("query")} AS VARCHAR) FROM i WHERE query_id <= 4
+UNION ALL SELECT 'bundle', 1, used || '/' || lim || '/' || len(chosen) || '/0' FROM bundle WHERE query_id = 1
+UNION ALL SELECT 'files', 1, string_agg(mention, ' ' ORDER BY ord) FROM {_RAW_MENTIONS} WHERE query_id = 1
+UNION ALL SELECT 'estimate', 1, CAST(used AS VARCHAR) FROM bundle WHERE query_id = 1
+UNION ALL SELECT 'owner', 1, 'true'
+UNION ALL SELECT 'expand', 1, used || '/' || lim || '/' || len(chosen) || '/1' FROM wider WHERE query_id = 1
+UNION ALL SELECT 'unknown', 1, 'unknown bundle id'""",
 }

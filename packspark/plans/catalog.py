@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packspark import api
 from packspark.functions import signals
 from packspark.functions import text as T
 from packspark.operators import anchors as A
@@ -20,6 +21,7 @@ from packspark.operators import symbols as S
 from packspark.operators import vectors as V
 from packspark.plans import bundle as Bu
 from packspark.plans import bundle_sql, demo, oracles, render
+from packspark.retrievers import build_retriever
 from packspark.session import scratch, table
 from packspark.settings import Settings
 from packspark.sources import workspace as W
@@ -273,6 +275,18 @@ def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", W.scannable(F.col("path"), F.col("size"), DEFAULTS).alias("scanned"))
 
 
+@query
+def manifest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of most documents, stored and loaded again, and the corpus that can be searched by it."""
+    conf = Settings(workspace_root=scratch(spark, "workspace"))
+    corpus = demo.documents_corpus(spark, sf_dir)
+    files = corpus.files.withColumn("mtime_ns", (F.col("mtime") * 1_000_000_000).cast("long"))
+    W.save_manifest(W.manifest(files.filter(F.col("mtime").cast("long") % 13 != 0)), conf)
+    entries = W.entries_of(W.load_manifest(spark, conf))
+    found = W.searchable(corpus, entries).files.select("path", F.size("lines").alias("n"))
+    return entries.join(found, F.col("rel_path") == F.col("path")).select("path", "mtime_ns", "size", F.col("line_count").cast("long").alias("line_count"), F.col("n").cast("long").alias("n_lines"))
+
+
 # -- vectors and merging ------------------------------------------------------------------------
 
 
@@ -299,6 +313,19 @@ def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("query_id", F.col("merged_rank").cast("long").alias("merged_rank"), "o_orderkey")
 
 
+def _letters(df: DataFrame, text: str) -> DataFrame:
+    """A made-up encoder: how often some letters stand in a text."""
+    count = lambda c: (F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("double")
+    return df.withColumn("vector", F.array(*[count(c) for c in "aeinot"]))
+
+
+@query
+def composite_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits, then vector hits over the windows of the first files, by the plug-in retrievers."""
+    found = build_retriever(Settings(enable_embedding_retriever=True), _letters).search(demo.batch(spark), demo.documents_corpus(spark, sf_dir), 20)
+    return found.select("query_id", "tier", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.round("keyword_match", 6).alias("keyword_match"))
+
+
 # -- bundles ------------------------------------------------------------------------------------
 
 
@@ -335,6 +362,23 @@ def bundle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.drop("timestamp").select("*", "features.*").drop("features")
 
 
+@query
+def engine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What single requests to an engine answer, as text."""
+    corpus = W.Corpus(demo.documents_corpus(spark, sf_dir).files.unionByName(demo.code_corpus(spark, sf_dir).files))
+    engines = api.Engines(spark)
+    root = scratch(spark, "workspace")
+    engine = engines.by_root[root] = api.Engine(spark, Settings(workspace_root=root), corpus, log=False)
+    said = [("analyze", i, engine.analyze_query(q)["intent"]) for i, q in demo.BATCH[:4]]
+    said += [("tokens", i, str(engines.estimate_tokens(q)["tokens"])) for i, q in demo.BATCH[:4]]
+    shape = lambda b: f"{b['budget_used']}/{b['budget_limit']}/{len(b['chunks'])}/{b['expansions']}"
+    first = engines.get(root).get_context_bundle(demo.BATCH[0][1])
+    said += [("bundle", 1, shape(first)), ("files", 1, " ".join(engine.analysis_for_bundle(first["bundle_id"])["signals"]["mentioned_files"]))]
+    said += [("estimate", 1, str(engines.estimate_tokens(bundle_id=first["bundle_id"])["tokens"])), ("owner", 1, str(engines.of_bundle(first["bundle_id"]) is engine).lower())]
+    said += [("expand", 1, shape(engines.expand_context(first["bundle_id"], focus="src3/doc13.md"))), ("unknown", 1, engines.expand_context("none")["error"])]
+    return spark.createDataFrame(said, "request string, query_id long, answer string")
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 

@@ -119,6 +119,8 @@ c2 AS (
   FROM c1
 )"""
 
+_LETTERS = "[" + ", ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{c}', '')) AS DOUBLE)" for c in "aeinot") + "]"
+
 SQL: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "line_counts": f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS newline_count, len({_lines('text')}) AS n_lines FROM documents",
@@ -208,6 +210,28 @@ FROM i, r""",
 WITH {_FILES}
 SELECT path AS rel_path, CASE WHEN doc_id % 13 = 0 THEN 'new' WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'time' ELSE 'size' END AS reason FROM files
 WHERE CASE WHEN doc_id % 13 = 0 THEN doc_id % 11 <> 0 ELSE doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 END""",
+    "manifest_stored": f"""
+WITH {_FILES}
+SELECT path, CAST(doc_id AS BIGINT) * 1000000000 AS mtime_ns, CAST(strlen(content) AS BIGINT) AS size, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS line_count, CAST(len({_lines("content")}) AS BIGINT) AS n_lines
+FROM files WHERE doc_id % 13 <> 0""",
+    "composite_search": rf"""
+WITH {_TOPK},
+first80 AS (SELECT path, lines FROM fl ORDER BY path LIMIT 80),
+win AS (SELECT path, lines, unnest(range(1, greatest(1, CAST(ceil((len(lines) - 24) / 12.0) AS BIGINT) * 12 + 1) + 1, 12)) AS a FROM first80),
+wins AS (SELECT path, a, least(len(lines), a + 23) AS b, array_to_string(lines[a:least(len(lines), a + 23)], chr(10)) AS content FROM win),
+vec AS (SELECT *, {_LETTERS.format("content")} AS v FROM wins WHERE regexp_matches(content, '\S')),
+ask AS (SELECT query_id, {_LETTERS.format("query")} AS q FROM {_BATCH} WHERE trim(query) <> ''),
+sim AS (SELECT query_id, path, a, b, content, coalesce(CASE WHEN isnan(list_cosine_similarity(q, v)) THEN 0 ELSE list_cosine_similarity(q, v) END, 0) AS s FROM ask, vec),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, path, a, b, content) AS n FROM sim) WHERE n <= 20),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_match DESC, path, start_line) AS k FROM chk) WHERE k <= 20),
+sides AS (
+  SELECT query_id, 0 AS side, 'grep' AS tier, path, start_line, end_line, keyword_match AS m FROM best
+  UNION ALL SELECT query_id, 1, 'embedding', path, a, b, s FROM near
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY m DESC, path, start_line) AS place FROM sides),
+new AS (SELECT *, row_number() OVER (PARTITION BY query_id, path, start_line, end_line ORDER BY side, place) AS nth FROM placed),
+merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY side, place) AS k FROM new WHERE side = 0 OR nth = 1)
+SELECT query_id, tier, path, start_line, end_line, round(m, 6) AS keyword_match FROM merged WHERE k <= 20""",
     "scan_filter": "SELECT page_id, page_id % 4 NOT IN (1, 2) AND page_id % 5 IN (0, 2, 4) AND length(html) * 90 <= 524288 AS scanned FROM pages",
     "line_windows": rf"""
 WITH {_FILES},
@@ -241,6 +265,7 @@ _LONG = {
     "import_edges": ("ord",),
     "import_hops": ("query_id", "hop"),
     "budget_rules": ("bucket", "fitted", "cap"),
+    "composite_search": ("query_id", "start_line", "end_line"),
     **{k: ("query_id",) for k in ("query_signals", "grep_hits", "grep_islands", "grep_chunks", "grep_topk", "path_resolve", "anchor_rank", "must_token_estimate")},
 }
 for _name, _columns in _LONG.items():
