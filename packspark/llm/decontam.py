@@ -52,7 +52,7 @@ VOCABULARY_BITS = 16
 V = 1 << VOCABULARY_BITS
 RANK = 32
 #: Dimensions of the random projection beside the latent ones, and what the latent cosine counts.
-PROJECTION, LATENT_SHARE = 48, 0.35
+PROJECTION, LATENT_SHARE = 40, 0.35
 #: Passes over the passages before the last one; with it, (A'A)^3 is applied to the random start.
 POWER_ITERATIONS = 2
 CELL = 8
@@ -72,7 +72,7 @@ BLOCKS = 64  # in how many parts a table of V rows is summed
 FAN = 64  # how many tables are added up in one place
 SUM_BYTES = 64 << 20  # of words that a task sums up before it sends its table
 STEP_WORDS = 100_000
-GRAM_WORDS = 512 * PASSAGE_WORDS
+GRAM_WORDS = 1024 * PASSAGE_WORDS
 
 _SPLIT = np.ones(256, bool)
 _SPLIT[128:] = False
@@ -376,7 +376,7 @@ def find(ids: np.ndarray, starts: np.ndarray, pieces: Pieces, table: np.ndarray)
     word = np.zeros(len(padded), bool)  # and not a place behind a document's end
     at = np.arange(len(ids)) + np.repeat((np.cumsum(per) - per) * CELL - starts[:-1], n)
     padded[at], word[at] = ids, True
-    sums = np.zeros((len(cells) + 1, table.shape[1]))
+    sums = np.zeros((len(cells) + 1, table.shape[1]), np.float32)
     rows = np.empty((min(len(padded), CELL << 11), table.shape[1]), np.float32)
     for k in range(0, len(padded), len(rows)):
         held = np.take(table, padded[k : k + len(rows)], axis=0, out=rows[: len(padded) - k], mode="clip")
@@ -403,8 +403,10 @@ def find(ids: np.ndarray, starts: np.ndarray, pieces: Pieces, table: np.ndarray)
         for k in range(0, len(at), 20_000):
             a = at[k : k + 20_000]
             x = unit(sums[np.minimum(a + scale, last[a])] - sums[a], pieces.latent)
-            i, j = np.nonzero(x @ pieces.vectors[who].T >= COSINE)
-            near.append(a[i] * len(pieces.items) + who[j])
+            cosines = x @ pieces.vectors[who].T
+            some = np.flatnonzero(cosines.max(1) >= COSINE)
+            i, j = np.nonzero(cosines[some] >= COSINE)
+            near.append(a[some[i]] * len(pieces.items) + who[j])
         near = np.concatenate(near) if near else np.zeros(0, np.int64)
         close = set(near.tolist())
         for key in np.unique(np.concatenate((*keys, near))).tolist():
