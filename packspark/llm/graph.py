@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import discard, release, stash
-
-
-#: Into how many parts the neighbours of one node are dealt where each needs the node's minimum.
-SALTS = 16
+from packspark.llm.common import discard, join_facts, release, stash
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -22,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: two columns of one type; order, direction, repeats and loops don't matter. Every round
     is a few aggregations by node, which combine before the shuffle, and joins in which the
-    neighbours of a node are dealt by a salt, so that a node with very many of them is no problem.
+    neighbours of a node with very many of them are dealt to several places.
     Rounds are stored in the shared folder: the lineage stays short, and lost executors cost no
     earlier round. Only the last round's table stays.
     """
@@ -32,16 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _fingerprint(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        dealt = both.filter("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
-        large = dealt.join(least.withColumn("salt", salt), ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
-        first = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(first, "v")
+        least = both.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows")
+        least = stash(least, "least")
+        large = join_facts(both.filter("u > v"), least, ["v"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
+        first = stash(large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("_rows")), "first")
+        small = join_facts(large, first, ["v"])
         after = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
         old, now = now, stash(after, "edges")
         before, mark = mark, _fingerprint(now)
-        discard(old)
+        discard(old, least, first)
         release(edges.sparkSession)
         if mark == before:
             break

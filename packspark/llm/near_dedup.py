@@ -276,19 +276,43 @@ def prefix_pairs(sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
         .select("fp", "root", "n", *ODD, spent.alias("spent"), F.posexplode(F.slice("hs", F.lit(1), (width - spent).cast("int"))))
         .select("fp", "root", "n", *ODD, (F.col("spent") + F.col("pos")).alias("at"), F.col("col.h").alias("h"), places(F.col("col.f")).alias("need"))
     )
-    # Roots meet first, so that the members of one component are never compared with each other,
-    # however many share a shingle. A frequent shingle's roots and members are dealt to several places.
-    roots = prefixes.select("h", "root", "need").distinct()
-    one, other = roots.withColumn("place", one_place(F.col("need"), "root")), roots.select("h", F.col("root").alias("root_y"), every_place(F.col("need")).alias("place"))
-    meet = one.join(other, ["h", "place"]).filter(F.col("root") != F.col("root_y")).select("h", F.col("root").alias("root_x"), "root_y", every_place(F.col("need")).alias("place"))
-    x, y = (prefixes.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "at", *ODD)], one_place(F.col("need"), "fp").alias(f"place_{s}")) for s in "xy")
-    o = F.ceil((F.col("n_x") + F.col("n_y")) * numerator / (numerator + DENOMINATOR))
-    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("fp_x") < F.col("fp_y")))
-    reach = (F.col("at_x") <= F.col("n_x") - o) & (F.col("at_y") <= F.col("n_y") - o) & (F.col("n_x") * DENOMINATOR >= F.col("n_y") * numerator)
+    prefixes = stash(prefixes, "prefixes")
+    release(sets.sparkSession)
+    # Components meet first, each with the bounds of its members, so that the members of one are never
+    # compared with each other, however many share a shingle. Most have one member, whose bounds decide.
+    room = F.col("n") - F.col("at")
+    groups = prefixes.groupBy("h", "root").agg(F.max("need").alias("need"), F.count(F.lit(1)).alias("members"), F.min("fp").alias("fp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(room).alias("room"), *[F.min(c).alias(c) for c in ODD])
+    groups = stash(groups, "groups")
+    own = lambda s, *more: [F.col(c).alias(f"{c}_{s}") for c in ("root", "fp", "members", "low", "high", "room", *ODD)] + list(more)
+    x, y = groups.select("h", *own("x"), one_place(F.col("need"), "root").alias("place")), groups.select("h", *own("y"), every_place(F.col("need")).alias("place"))
+
+    def able(low: Column, room_x: Column, room_y: Column, few: tuple[Column, Column], many: tuple[Column, Column]) -> Column:
+        o = F.ceil(low * numerator / (numerator + DENOMINATOR))
+        sizes = (many[0] * DENOMINATOR >= few[1] * numerator) & (many[1] * DENOMINATOR >= few[0] * numerator)
+        return sizes & (room_x >= o) & (room_y >= o)
+
     apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ODD), F.lit(0))
-    close = apart <= F.col("n_x") + F.col("n_y") - 2 * o
-    first = x.withColumnRenamed("place_x", "place").join(meet, ["h", "root_x", "place"]).drop("place")
-    return first.join(y.drop("place_y"), ["h", "root_y"]).filter(smaller & reach & close).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct()
+
+    def close(n: Column) -> Column:
+        return apart <= n - 2 * F.ceil(n * numerator / (numerator + DENOMINATOR))
+
+    c = F.col
+    both = able(c("low_x") + c("low_y"), c("room_x"), c("room_y"), (c("low_x"), c("low_y")), (c("high_x"), c("high_y")))
+    single = (c("members_x") == 1) & (c("members_y") == 1)
+    met = x.join(y, (x["h"] == y["h"]) & (x["place"] == y["place"]) & (c("root_x") < c("root_y")) & both & (~single | close(c("low_x") + c("low_y"))))
+    met = stash(met.select(x["h"].alias("h"), "root_x", "root_y", c("fp_x").alias("a"), c("fp_y").alias("b"), single.alias("single")), "met")
+    release(sets.sparkSession)
+    # Components of several members: their members meet.
+    x, y = (prefixes.select("h", "need", *[c(k).alias(f"{k}_{s}") for k in ("fp", "root", "n", "at", *ODD)]) for s in "xy")
+    many = met.filter(~c("single")).select("h", "root_x", "root_y")
+    first = x.join(many, ["h", "root_x"]).drop("need")
+    n = c("n_x") + c("n_y")
+    fits = able(n, c("n_x") - c("at_x"), c("n_y") - c("at_y"), (c("n_x"), c("n_y")), (c("n_x"), c("n_y"))) & close(n)
+    pairs = first.join(y.drop("need"), ["h", "root_y"]).filter(fits).select(c("fp_x").alias("a"), c("fp_y").alias("b"))
+    pairs = stash(met.filter("single").select("a", "b").unionByName(pairs).distinct(), "pairs")
+    discard(prefixes, groups, met)
+    release(sets.sparkSession)
+    return pairs
 
 
 def links(df: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame]:
