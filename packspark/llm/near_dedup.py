@@ -300,16 +300,22 @@ def prefix_pairs(sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     both = able(c("low_x") + c("low_y"), c("room_x"), c("room_y"), (c("low_x"), c("low_y")), (c("high_x"), c("high_y")))
     single = (c("members_x") == 1) & (c("members_y") == 1)
     met = x.join(y, (x["h"] == y["h"]) & (x["place"] == y["place"]) & (c("root_x") < c("root_y")) & both & (~single | close(c("low_x") + c("low_y"))))
-    met = stash(met.select(x["h"].alias("h"), "root_x", "root_y", c("fp_x").alias("a"), c("fp_y").alias("b"), single.alias("single")), "met")
+    met = stash(met.select(x["h"].alias("h"), single.alias("single"), *[c(f"{k}_{s}") for s in "xy" for k in ("root", "fp", "members", "low", "high", "room", *ODD)]), "met")
     release(sets.sparkSession)
-    # Components of several members: their members meet.
-    x, y = (prefixes.select("h", "need", *[c(k).alias(f"{k}_{s}") for k in ("fp", "root", "n", "at", *ODD)]) for s in "xy")
-    many = met.filter(~c("single")).select("h", "root_x", "root_y")
-    first = x.join(many, ["h", "root_x"]).drop("need")
+    # Members of components that have several meet the other component's bounds, which are exact where
+    # it has one member; else that one's members.
+    swap = c("members_x") == 1
+    side = lambda k, s, t: F.when(swap, c(f"{k}_{t}")).otherwise(c(f"{k}_{s}")).alias(f"{k}_{s}")
+    many = met.filter(~c("single")).select("h", side("root", "x", "y"), *[side(k, "y", "x") for k in ("root", "fp", "members", "low", "high", "room", *ODD)])
+    x, y = (prefixes.select(c("h").alias(f"h_{s}"), *[c(k).alias(f"{k}_of_{s}" if k == "root" else f"{k}_{s}") for k in ("root", "fp", "n", "at", *ODD)]) for s in "xy")
+    bound = able(c("n_x") + c("low_y"), c("n_x") - c("at_x"), c("room_y"), (c("n_x"), c("low_y")), (c("n_x"), c("high_y")))
+    one = x.join(many, (c("h_x") == c("h")) & (c("root_of_x") == c("root_x")) & bound & ((c("members_y") > 1) | close(c("n_x") + c("low_y"))))
     n = c("n_x") + c("n_y")
     fits = able(n, c("n_x") - c("at_x"), c("n_y") - c("at_y"), (c("n_x"), c("n_y")), (c("n_x"), c("n_y"))) & close(n)
-    pairs = first.join(y.drop("need"), ["h", "root_y"]).filter(fits).select(c("fp_x").alias("a"), c("fp_y").alias("b"))
-    pairs = stash(met.filter("single").select("a", "b").unionByName(pairs).distinct(), "pairs")
+    rest = one.filter("members_y > 1").select("h", "root_y", "fp_x", "n_x", "at_x", *[f"{k}_x" for k in ODD])
+    two = rest.join(y, (c("h_y") == c("h")) & (c("root_of_y") == c("root_y")) & fits)
+    pairs = one.filter("members_y = 1").select(c("fp_x").alias("a"), c("fp_y").alias("b")).unionByName(two.select(c("fp_x").alias("a"), c("fp_y").alias("b")))
+    pairs = stash(met.filter("single").select(c("fp_x").alias("a"), c("fp_y").alias("b")).unionByName(pairs).distinct(), "pairs")
     discard(prefixes, groups, met)
     release(sets.sparkSession)
     return pairs
