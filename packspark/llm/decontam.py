@@ -271,8 +271,8 @@ def synonyms(words: np.ndarray, terms: np.ndarray, df: np.ndarray) -> dict[int,
         return {}
     rows = terms / np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-12)
     others, out = rows[able].T, {}
-    for k in range(0, len(words), 256):
-        block = words[k : k + 256]
+    for k in range(0, len(words), 32):
+        block = words[k : k + 32]
         near = rows[block] @ others
         near[block[:, None] == able] = -1
         best = np.argpartition(-near, min(SYNONYMS, near.shape[1] - 1), axis=1)[:, :SYNONYMS]
